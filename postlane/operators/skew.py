@@ -105,10 +105,12 @@ def domain_report(emails: DataFrame) -> DataFrame:
     lengths = q.groupBy("key").agg(
         F.max(F.when(F.col("fraction") == 0.5, F.col("quantile"))).alias("median_chars"), F.max(F.when(F.col("fraction") == 0.9, F.col("quantile"))).alias("p90_chars")
     )
+    senders = senders.withColumnRenamed("k", "k1")
+    ids = ids.withColumnRenamed("k", "k2")
     return (
-        plain.join(senders, plain.k.eqNullSafe(senders.k), "left").drop(senders.k)
-        .join(ids, plain.k.eqNullSafe(ids.k), "left").drop(ids.k)
-        .join(lengths, plain.k.eqNullSafe(lengths.key), "left")
+        plain.join(senders, F.col("k").eqNullSafe(F.col("k1")), "left")
+        .join(ids, F.col("k").eqNullSafe(F.col("k2")), "left")
+        .join(lengths, F.col("k").eqNullSafe(F.col("key")), "left")
         .select(F.col("k").alias("sender_domain"), "mails", F.coalesce("distinct_mails", F.lit(0)).alias("distinct_mails"), F.coalesce("senders", F.lit(0)).alias("senders"), "first_at", "latest_at", "median_chars", "p90_chars")
     )
 
