@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlane.llm import conversations
+from postlane.llm import conversations, entities
 from postlane.session import table
 
 
@@ -14,5 +14,13 @@ def p1_conversations(spark, d):
     return conversations.conversation_texts(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations)}
+def p4_found(spark, d):
+    return entities.found_pairs(table(spark, d, "emails"))
+
+
+def p4_entities(spark, d):
+    return entities.entities(table(spark, d, "emails"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p4_found, p4_entities)}
 SQL: dict[str, str] = {}
