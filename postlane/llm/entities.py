@@ -152,7 +152,7 @@ def entities(emails: DataFrame, max_rounds: int = 8) -> DataFrame:
     evidence = evidence.unionByName(extra).unionByName(initial_rows)
     # addresses without any name: their mailbox name alone, where it is given name and surname
     pieces = people.groupBy("address").agg(F.max("surname").alias("s"), F.max("local_head").alias("head")).where("s is null").withColumn("p", F.split(F.regexp_replace(F.regexp_replace(F.split("address", "[+@]")[0], r"\d+$", ""), r"\.priv$", ""), "[._-]")).where("size(p) = 2")
-    pieces = pieces.select("address", F.explode(F.array(F.struct(F.col("p")[0].alias("g"), F.col("p")[1].alias("s2")), F.struct(F.col("p")[1].alias("g"), F.col("p")[0].alias("s2")))).alias("x")).select("address", "x.g", "x.s2")
+    pieces = pieces.select("address", F.explode(F.array(F.struct(F.get("p", F.lit(0)).alias("g"), F.get("p", F.lit(1)).alias("s2")), F.struct(F.get("p", F.lit(1)).alias("g"), F.get("p", F.lit(0)).alias("s2")))).alias("x")).select("address", "x.g", "x.s2")
     bare = pieces.join(F.broadcast(shorts), F.col("g") == F.col("word")).select("address", F.col("s2").alias("surname"), "fulls", F.lit(None).cast("string").alias("initial"), F.lit(True).alias("confirmed"), F.lit(1.0).alias("w"))
     only_initial = pieces.where("length(g) = 1 and length(s2) > 3").select("address", F.col("s2").alias("surname"), F.lit(None).cast("array<string>").alias("fulls"), F.col("g").alias("initial"), F.lit(True).alias("confirmed"), F.lit(1.0).alias("w"))
     evidence = cut(evidence.unionByName(bare).unionByName(only_initial).withColumn("surname", F.regexp_replace("surname", r"([aou])e", "$1")))
@@ -166,7 +166,7 @@ def entities(emails: DataFrame, max_rounds: int = 8) -> DataFrame:
         fulls = votes.join(top, "entity").where("w >= top").groupBy("entity").agg(F.array_sort(F.collect_set("full")).alias("fulls"))  # bounded by the short-form table and ties
         names_of = rows.groupBy("entity", "surname").agg(F.max("confirmed").alias("confirmed"), F.sum("w").alias("w"), F.min("initial").alias("initial"))
         profile = cut(names_of.join(fulls, "entity", "left"))
-        sure = profile.where("size(fulls) = 1").withColumn("full", F.col("fulls")[0])
+        sure = profile.where("size(fulls) = 1").withColumn("full", F.get("fulls", F.lit(0)))
         # block: surname and full given name
         exact = sure.select(F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|"), "full").alias("b"))
         # a typo of a surname: stars on the best confirmed spelling among those that share a cut
@@ -179,7 +179,7 @@ def entities(emails: DataFrame, max_rounds: int = 8) -> DataFrame:
         loose = profile.where("fulls is null or size(fulls) > 1").join(given, "surname", "left")
         fits = F.filter("all", lambda g: F.when(F.size("fulls") > 1, F.array_contains("fulls", g)).otherwise(g.startswith(F.coalesce("initial", F.lit("?")))))
         loose = loose.withColumn("fit", fits)
-        joined = loose.where("size(fit) = 1").select(F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|"), F.col("fit")[0]).alias("b"))
+        joined = loose.where("size(fit) = 1").select(F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|"), F.get("fit", F.lit(0))).alias("b"))
         alone = loose.where("(fit is null or size(fit) = 0) and (initial is not null or fulls is not null)").select(
             F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|?"), F.coalesce(F.array_join("fulls", ","), "initial")).alias("b")
         )
