@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlane.llm import conversations, entities
+from postlane.llm import conversations, entities, pii, quotes
 from postlane.session import table
 
 
@@ -14,6 +14,14 @@ def p1_conversations(spark, d):
     return conversations.conversation_texts(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
 
 
+def p2_found(spark, d):
+    return quotes.found_lines(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
+
+
+def p2_new_texts(spark, d):
+    return quotes.new_texts(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
+
+
 def p4_found(spark, d):
     return entities.found_pairs(table(spark, d, "emails"))
 
@@ -22,5 +30,13 @@ def p4_entities(spark, d):
     return entities.entities(table(spark, d, "emails"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p4_found, p4_entities)}
+def p5_found(spark, d):
+    return pii.found_spans(table(spark, d, "emails"))
+
+
+def p5_masked(spark, d):
+    return pii.masked_texts(table(spark, d, "emails"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_new_texts, p4_found, p4_entities, p5_found, p5_masked)}
 SQL: dict[str, str] = {}
