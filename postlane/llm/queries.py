@@ -15,11 +15,11 @@ def p1_conversations(spark, d):
 
 
 def p2_found(spark, d):
-    return quotes.found_lines(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
+    return quotes.found_lines(table(spark, d, "emails"))
 
 
 def p2_new_texts(spark, d):
-    return quotes.new_texts(table(spark, d, "emails"), table(spark, d, "corpus_metadata"))
+    return quotes.new_texts(table(spark, d, "emails"))
 
 
 def p4_found(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from postlane.llm import boosting, conversations
 from postlane.llm.gazetteers import LEGAL_FORMS, fold, short_form_table
+from postlane.operators.ranking import running
 from postlane.session import cut, stage
 
 # Phrases of mail in English, German, French, Spanish, Polish, Dutch, Italian, Portuguese and Swedish.
@@ -303,37 +304,64 @@ def _frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "lines", "features"])
 
 
-def with_context(emails: DataFrame, corpus_metadata: DataFrame, share: float = 0.05) -> DataFrame:
-    """``id, body, sender, name, parent, frequent, hashes``: each mail (once per id) beside what tells its lines apart.
+def _trimmed(line):
+    return F.trim(F.regexp_replace(line, "\r", ""))
 
-    ``parent`` is the whole body of its likeliest parent (null without one), ``hashes`` has one hash a line and
-    ``frequent`` those of the sender's short lines that stand in at least ``share`` of the sender's mails and in
-    two at least; a share bounds their number by the mean number of lines over the share, whatever the sender's size.
+
+def _mails(emails: DataFrame) -> DataFrame:
+    """One row per id, the first delivered, with what finds the parent and the sender; no text."""
+    reply, refs = conversations.names_in(F.col("in_reply_to")), conversations.names_in(F.col("references_json"))
+    narrow = emails.where(F.col("id").isNotNull()).select(
+        "id", "pos", F.xxhash64(F.lower("sender_email")).alias("sender"), conversations.real_value(F.col("thread_id")).alias("thread"),
+        F.coalesce(F.get(reply, F.lit(0)), F.get(refs, F.size(refs) - 1)).alias("name"), F.get(conversations.names_in(F.col("provider_message_id")), F.lit(0)).alias("message_id"),
+    )
+    return narrow.groupBy("id").agg(F.min_by(F.struct(*[c for c in narrow.columns if c != "id"]), "pos").alias("m")).select("id", "m.*")
+
+
+def parents(mails: DataFrame) -> DataFrame:
+    """``id, parent``: the mail that the header names (in_reply_to, without it the last reference), else the one before in the thread."""
+    names = mails.select(F.col("id").alias("name"), F.col("id").alias("target")).unionByName(mails.where("message_id is not null").select(F.col("message_id").alias("name"), F.col("id").alias("target")))
+    by_name = mails.where("name is not null").select("id", "name").join(names, "name").where("id != target").groupBy("id").agg(F.min("target").alias("named"))
+    numbered = stage(running(mails.where("thread is not null").select("id", "thread", "pos"), "thread", [F.col("pos")], name="n").select("id", F.xxhash64("thread").alias("thread"), "n"), "thread-order")
+    by_thread = numbered.join(numbered.select("thread", (F.col("n") + 1).alias("n"), F.col("id").alias("earlier")), ["thread", "n"]).select("id", "earlier")
+    return by_name.join(by_thread, "id", "full").select("id", F.coalesce("named", "earlier").alias("parent"))
+
+
+def context(emails: DataFrame, mails: DataFrame, links: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``id, body, sender, name, parent, frequent, hashes`` of the mails in ``mails``.
+
+    The texts move twice: once keyed by id as what is judged, once as parents. Whatever else is known of a mail
+    is joined to its id first, so that no text moves by sender.
     """
-    mails = stage(conversations.messages(emails, corpus_metadata), "p2-messages")
-    links, _ = conversations.reply_links(mails)
-    first = mails.select("id", "pos")
-    bodies = emails.where(F.col("id").isNotNull() & F.col("body_text").rlike(conversations.VISIBLE)).select("id", "pos", F.col("body_text").alias("body"), F.lower("sender_email").alias("sender"), F.col("sender_name").alias("name"))
-    bodies = stage(bodies.join(first, ["id", "pos"]).drop("pos"), "p2-bodies")
-    hashes = F.transform(F.split("body", "\n"), lambda x: F.xxhash64(F.trim(F.regexp_replace(x, "\r", ""))))
-    short = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: F.length(x).between(2, 80))
-    per = bodies.select("sender", F.explode(F.array_distinct(F.transform(short, lambda x: F.xxhash64(x)))).alias("h")).groupBy("sender", "h").agg(F.count(F.lit(1)).alias("c"))
-    total = bodies.groupBy("sender").agg(F.count(F.lit(1)).alias("m"))
-    frequent = per.where("c >= 2").join(total, "sender").where(F.col("c") >= F.col("m") * share).groupBy("sender").agg(F.collect_list("h").alias("frequent"))
-    parents = links.select("id", "parent").join(bodies.select(F.col("id").alias("parent"), F.col("body").alias("parent_body")), "parent").select("id", F.col("parent_body").alias("parent"))
-    return bodies.join(parents, "id", "left").join(frequent, "sender", "left").withColumn("hashes", hashes)
-
-
-def train(context: DataFrame, mails: int = 3000, trees: int = 40, depth: int = 5) -> dict:
-    """Trees fitted on the surely labelled lines of a bounded sample: the ``mails`` mails with the smallest hash of their id."""
-    sample = context.orderBy(F.xxhash64("id"), "id").limit(mails)
-    got = sample.mapInPandas(_frame, FEATURE_SCHEMA).toPandas()
+    text = emails.where(F.col("id").isNotNull() & F.col("body_text").rlike(conversations.VISIBLE)).select("id", "pos", F.col("body_text").alias("body"), F.lower("sender_email").alias("sender"), F.col("sender_name").alias("name"))
+    known = mails.select("id", "pos", F.col("sender").alias("s")).join(frequent.withColumnRenamed("sender", "s"), "s", "left").select("id", "pos", "frequent")
+    first_pos = links.join(mails.select(F.col("id").alias("parent"), F.col("pos").alias("ppos")), "parent")
+    above = text.select(F.col("id").alias("parent"), F.col("pos").alias("ppos"), F.col("body").alias("above")).join(first_pos, ["parent", "ppos"]).select("id", "above")
+    hashes = F.transform(F.split("body", "\n"), lambda x: F.xxhash64(_trimmed(x)))
+    return text.join(known, ["id", "pos"]).join(above, "id", "left").select("id", "body", "sender", "name", F.col("above").alias("parent"), "frequent", hashes.alias("hashes"))
+
+
+def frequent_lines(emails: DataFrame, mails: DataFrame, share: float = 0.05) -> DataFrame:
+    """``sender, frequent``: hashes of the short lines that stand in at least ``share`` of a sender's mails, and in two at least.
+
+    A share bounds their number by the mean number of lines over the share, however many mails the sender has.
+    """
+    short = F.filter(F.transform(F.split("body_text", "\n"), _trimmed), lambda x: F.length(x).between(2, 50))
+    lines = emails.where("id is not null").select(F.xxhash64(F.lower("sender_email")).alias("sender"), F.explode(F.array_distinct(F.transform(short, lambda x: F.xxhash64(x)))).alias("h"))
+    per = lines.groupBy("sender", "h").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    total = mails.groupBy("sender").agg(F.count(F.lit(1)).alias("m"))
+    return per.join(total, "sender").where(F.col("c") >= F.col("m") * share).groupBy("sender").agg(F.collect_list("h").alias("frequent"))
+
+
+def train(rows: DataFrame, trees: int = 40, depth: int = 5) -> dict:
+    """Trees fitted on the surely labelled lines of a bounded sample of mails."""
+    got = rows.mapInPandas(_frame, FEATURE_SCHEMA).toPandas()
     x = np.concatenate([np.frombuffer(f, dtype=np.uint8).reshape(-1, N) for f in got.features] or [np.zeros((0, N), np.uint8)])
     x = x[x[:, SURE] < 2]
     return boosting.fit(x[:, :SURE], x[:, SURE], trees, depth)
 
 
-def not_new_lines(emails: DataFrame, corpus_metadata: DataFrame, train_mails: int = 3000) -> DataFrame:
+def not_new_lines(emails: DataFrame, train_mails: int = 3000) -> DataFrame:
     """``id, line_no, score``: every line that isn't blank with the probability that its sender did not newly write it.
 
     Bodies are cut into blocks at blank lines and where quote marks, introductions of quotes or warnings begin and
@@ -344,8 +372,11 @@ def not_new_lines(emails: DataFrame, corpus_metadata: DataFrame, train_mails: in
     Mails count once per id; null and blank bodies, and mails without id, give no rows. Lines are split at line
     feeds and counted from 1; a line of white space or invisible characters only is blank. An empty table gives no rows.
     """
-    context = stage(with_context(emails, corpus_metadata), "p2-context")
-    model = train(context, train_mails)
+    mails = stage(_mails(emails), "mails")
+    links = cut(parents(mails))
+    frequent = cut(frequent_lines(emails, mails))
+    chosen = F.broadcast(cut(mails.orderBy(F.xxhash64("id"), "id").limit(train_mails)))
+    model = train(context(emails, chosen, F.broadcast(cut(links.join(chosen.select("id"), "id"))), frequent))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -360,17 +391,17 @@ def not_new_lines(emails: DataFrame, corpus_metadata: DataFrame, train_mails: in
                 x = np.concatenate(xs) if xs else np.zeros((0, N), np.uint8)
                 yield pd.DataFrame({"id": ids, "line_no": np.array(nos, dtype=np.int64), "score": boosting.predict(model, x[:, :SURE])})
 
-    return context.mapInPandas(judge, "id string, line_no bigint, score double")
+    return context(emails, mails, links, frequent).mapInPandas(judge, "id string, line_no bigint, score double")
 
 
-def found_lines(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
+def found_lines(emails: DataFrame) -> DataFrame:
     """``id, line_no`` of each line that wasn't newly written by the mail's sender."""
-    return not_new_lines(emails, corpus_metadata).where("score >= 0.5").select("id", "line_no")
+    return not_new_lines(emails).where("score >= 0.5").select("id", "line_no")
 
 
-def new_texts(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
+def new_texts(emails: DataFrame) -> DataFrame:
     """``id, new_text``: the newly written lines of each mail, joined by line feeds, outer blank lines left out."""
-    lines = not_new_lines(emails, corpus_metadata).where("score >= 0.5").groupBy("id").agg(F.collect_set("line_no").alias("drop"))
+    lines = not_new_lines(emails).where("score >= 0.5").groupBy("id").agg(F.collect_set("line_no").alias("drop"))
     first = emails.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by("body_text", "pos").alias("body"))
     parts = F.split("body", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("drop", F.array().cast("array<bigint>")), (i + 1).cast("bigint")))
