@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlane.llm import conversations, entities, pii, quotes
+from postlane.llm import conversations, entities, languages, mixing, pii, quotes, tokens
 from postlane.session import table
 
 
@@ -38,5 +38,29 @@ def p5_masked(spark, d):
     return pii.masked_texts(table(spark, d, "emails"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_new_texts, p4_found, p4_entities, p5_found, p5_masked)}
+def p7_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents")).select("doc_id", "ids")
+
+
+def p7_tokens(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark, d):
+    return languages.found_segments(table(spark, d, "documents"))
+
+
+def p9_segments(spark, d):
+    return languages.detect(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_new_texts, p4_found, p4_entities, p5_found, p5_masked, p7_ids, p7_tokens, p8_mix, p8_shares, p9_found, p9_segments)}
 SQL: dict[str, str] = {}
