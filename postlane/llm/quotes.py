@@ -328,19 +328,21 @@ def parents(mails: DataFrame) -> DataFrame:
 
 
 def context(emails: DataFrame, mails: DataFrame, links: DataFrame, frequent: DataFrame, bounded: bool = False) -> DataFrame:
-    """``id, body, sender, name, parent, frequent, hashes`` of the mails in ``mails``.
+    """``id, body, sender, name, parent, frequent, hashes, above_sender, above_name`` of the mails in ``mails``.
 
-    The texts move twice: once keyed by id as what is judged, once as parents, there without the lines that carry a
-    quote mark. Whatever else is known of a mail is joined to its id first, so that no text moves by sender.
+    The parent's text is its whole body, quoted lines included: what it quotes is the text of the older mails of the
+    conversation. The texts move twice: once keyed by id, both as what is judged and as parents (the same columns, so that
+    it is one exchange), once from the parents to the mails that answer them. Whatever else is known of a mail is joined to
+    its id first, so that no text moves by sender.
     ``bounded``: ``mails`` and ``links`` are a sample of bounded size, which is broadcast instead.
     """
     small = F.broadcast if bounded else (lambda df: df)
     text = emails.where(F.col("id").isNotNull() & F.col("body_text").rlike(conversations.VISIBLE)).select("id", "pos", F.col("body_text").alias("body"), F.lower("sender_email").alias("sender"), F.col("sender_name").alias("name"))
     known = mails.select("id", "pos", F.col("sender").alias("s")).join(frequent.withColumnRenamed("sender", "s"), "s", "left").select("id", "pos", "frequent")
-    own = F.regexp_replace("body", r"(?m)^[ \t]*(?:[>|»]|\p{L}{1,3}>).*$\n?", "")
-    above = text.select(F.col("id").alias("parent"), F.col("pos").alias("ppos"), own.alias("above")).join(small(links), ["parent", "ppos"]).select("id", "above")
+    above = text.select(F.col("id").alias("parent"), F.col("pos").alias("ppos"), F.col("body").alias("above"), F.col("sender").alias("above_sender"), F.col("name").alias("above_name"))
+    above = above.join(small(links), ["parent", "ppos"]).select("id", "pos", "above", "above_sender", "above_name")
     hashes = F.transform(F.split("body", "\n"), lambda x: F.xxhash64(_trimmed(x)))
-    return text.join(small(known), ["id", "pos"]).join(small(above), "id", "left").select("id", "body", "sender", "name", F.col("above").alias("parent"), "frequent", hashes.alias("hashes"))
+    return text.join(small(known), ["id", "pos"]).join(small(above), ["id", "pos"], "left").select("id", "body", "sender", "name", F.col("above").alias("parent"), "frequent", hashes.alias("hashes"), "above_sender", "above_name")
 
 
 def frequent_lines(emails: DataFrame, mails: DataFrame, share: float = 0.05) -> DataFrame:
@@ -375,7 +377,8 @@ def not_new_lines(emails: DataFrame, train_mails: int = 3000) -> DataFrame:
     feeds and counted from 1; a line of white space or invisible characters only is blank. An empty table gives no rows.
     """
     mails = stage(_mails(emails), "mails")
-    links = cut(parents(mails).join(mails.select(F.col("id").alias("parent"), F.col("pos").alias("ppos")), "parent"))
+    links = parents(mails).join(mails.select(F.col("id").alias("parent"), F.col("pos").alias("ppos")), "parent")
+    links = cut(links.join(mails.select("id", "pos"), "id"))
     frequent = cut(frequent_lines(emails, mails))
     chosen = cut(mails.orderBy(F.xxhash64("id"), "id").limit(train_mails))
     their_links = cut(links.join(F.broadcast(chosen.select("id")), "id"))

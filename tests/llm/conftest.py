@@ -1,0 +1,8 @@
+import pytest
+
+from postlane.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(2, "tests")
