@@ -48,13 +48,46 @@ def messages(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
     return normalise_instants(first, mailbox_settings(corpus_metadata)).drop("received_date", "mailbox", "is_canonical", "zone_status")
 
 
+def thread_candidates(mails: DataFrame, linked: DataFrame) -> DataFrame:
+    """``id, parent``: the earlier mails of its thread that can be the likeliest parent of each mail not in ``linked``.
+
+    The score falls with time and else depends on mention and shared subject words alone, so the best of all earlier
+    mails is among the latest one, the latest from the recipient, the latest to the sender, and the same three
+    for each subject of the thread that shares a word, where the thread has several. Each is an as-of join: the running
+    number of the candidates of a key, by ranges, so that a hot thread is many tasks. Mails of one instant follow ``pos``.
+    """
+    words = _words(F.col("subject"))
+    pool = mails.where("thread is not null").select("id", "pos", "thread", "sender", "recipient", F.coalesce("utc_micros", F.lit(0)).alias("utc_micros"), words.alias("words"), F.array_join(F.sort_array(words), " ").alias("topic"))
+    asking = pool.join(linked, "id", "left_anti")
+    pool = pool.join(asking.select("thread").distinct(), "thread", "left_semi")
+    topics = lambda df, name: df.select("thread", F.col("topic").alias(name), F.explode("words").alias("word")).distinct()
+    shared = topics(asking, "topic").join(topics(pool, "other"), ["thread", "word"]).select("thread", "topic", "other").distinct()
+    asked = asking.withColumn("other", F.lit("")).drop("topic").unionByName(asking.join(shared, ["thread", "topic"]).drop("topic"))
+    several = pool.groupBy("thread").agg(F.min("topic").alias("t0"), F.max("topic").alias("t1")).where("t0 != t1").select("thread", F.lit(True).alias("several"))
+    offered = pool.join(several, "thread", "left").withColumn("other", F.explode(F.when(F.col("several"), F.array_distinct(F.array(F.lit(""), "topic"))).otherwise(F.array(F.lit("")))))
+
+    def keyed(df: DataFrame, role: int, from_: str, to: str) -> DataFrame:
+        def part(kind, *who):
+            text = F.concat("thread", F.lit("\n"), "other", F.lit(f"\n{kind}"), *who)
+            return F.when(text.isNotNull(), F.xxhash64(text))
+
+        keys = F.array(part("any"), part("from ", from_), part("to ", to))
+        return df.select(F.explode(keys).alias("key"), "utc_micros", "pos", F.lit(role).cast("long").alias("role")).where("key is not null")
+
+    rows = keyed(asked, 0, "recipient", "sender").unionByName(keyed(offered, 1, "sender", "recipient"))
+    numbered = stage(running(rows, "key", [F.col("utc_micros"), F.col("pos"), F.col("role")], value=F.col("role"), name="n"), "thread-order")
+    latest = numbered.where("role = 1").select("key", "n", F.col("pos").alias("parent_pos"))
+    found = numbered.where("role = 0").select("key", "n", "pos").join(latest, ["key", "n"]).select("pos", "parent_pos").distinct()
+    return found.join(mails.select("id", "pos"), "pos").join(mails.select(F.col("id").alias("parent"), F.col("pos").alias("parent_pos")), "parent_pos").select("id", "parent")
+
+
 def reply_links(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(links, named)``.
 
     ``named``: each name a mail gives, resolved by id or provider message id: ``id, kind, place, parent`` (null
     where no such mail exists); kind is ``reply`` or ``ref``. ``links``: the likeliest parent of each mail that
-    has a candidate: ``id, parent, score``. Candidates are the named mails and, within a thread, the mail before;
-    a link is scored by the header that names it, how close the two are in time, whether the mail is addressed to
+    has a candidate: ``id, parent, score``. Candidates are the named mails and, for a mail that names none which
+    exists (a name outweighs them all), those of ``thread_candidates``; a link is scored by the header that names it, how close the two are in time, whether the mail is addressed to
     the candidate's sender and the words their subjects share. Ties go to the larger instant, then the smaller id.
     """
     names = mails.select(F.col("id").alias("name"), F.col("id").alias("target")).unionByName(
@@ -66,12 +99,8 @@ def reply_links(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = given.join(names, "name", "left").select("id", "kind", "place", F.col("target").alias("parent"), ((F.col("kind") == "ref") & (F.col("place") == F.col("n_reply") + F.col("n_refs") - 1)).alias("is_last"), "n_reply")
     named = stage(named, "named")
 
-    # the mail before, within the thread: by ranges, so that a hot thread is many tasks
-    in_thread = mails.where("thread is not null").select("id", "thread", "utc_micros")
-    numbered = stage(running(in_thread, "thread", [F.coalesce("utc_micros", F.lit(0)), F.col("id")], name="n"), "thread-order")
-    before = numbered.select("thread", (F.col("n") + 1).alias("n"), F.col("id").alias("parent"))
-    by_thread = numbered.select("id", "thread", "n").join(before, ["thread", "n"]).select("id", "parent", F.lit(W_THREAD).alias("w"))
     by_name = named.where("parent is not null and parent != id").select("id", "parent", F.when(F.col("kind") == "reply", W_REPLY).when(F.col("is_last"), W_LAST_REFERENCE).otherwise(W_REFERENCE).alias("w"))
+    by_thread = thread_candidates(mails, by_name.select("id").distinct()).withColumn("w", F.lit(W_THREAD))
     candidates = by_name.unionByName(by_thread).groupBy("id", "parent").agg(F.max("w").alias("w"))
     about = mails.select("id", "sender", "recipient", "utc_micros", _words(F.col("subject")).alias("words"))
     pairs = candidates.join(about, "id").join(about.select(*[F.col(c).alias("parent" if c == "id" else f"p_{c}") for c in about.columns]), "parent")
