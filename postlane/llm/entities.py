@@ -20,6 +20,9 @@ _TRADE = {y: t for t, short in G.TRADES.items() for y in [t, *short.split()]}
 _ROLE = set(G.ROLE_MAILBOXES)
 _SHORT = G.short_form_table()
 
+#: A given name is a typo of a neighbour that has so many times its partner words; a listed one counts as five times that at least.
+TYPO_RATIO = 4
+
 PARSED = "address string, n bigint, kind string, first string, second string, surname_first boolean, initials array<string>, local string, local_head string, label string"
 
 
@@ -107,17 +110,19 @@ def _person_rows(parsed: DataFrame) -> DataFrame:
     one = rows.where("first != '' and second = ''").select("address", "n", "local", "local_head", F.col("first").alias("surname"), F.lit(None).cast("string").alias("given"), F.get("initials", F.lit(0)).alias("initial"))
     none = rows.where("first = ''").select("address", "n", "local", "local_head", F.lit(None).cast("string").alias("surname"), F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("initial"))
     out = both.unionByName(one).unionByName(none)
-    # a given name that is hardly known is read as the known one it is a typo of
-    known = degree.where("degree >= 5").select(F.col("word").alias("right"), F.col("degree").alias("rd"))
-    rare = out.where("given is not null").select("given").distinct().join(degree.where("degree >= 5").select(F.col("word").alias("given")), "given", "left_anti")
+    # a given name that is rare against its best known neighbour is read as a typo of it; listed names are always known
+    raw = (F.col("degree") - F.when(F.col("listed"), 1000).otherwise(0)).alias("raw")
+    degree = degree.join(F.broadcast(listed), "word", "left").select("word", "degree", raw, F.coalesce("listed", F.lit(False)).alias("listed"))
+    known = degree.where("listed or raw >= 5").select(F.col("word").alias("right"), F.col("degree").alias("rd"), F.when(F.col("listed"), F.greatest("raw", F.lit(TYPO_RATIO * 5))).otherwise(F.col("raw")).alias("often"))
+    rare = out.where("given is not null").select("given").distinct().join(degree.where("not listed").select(F.col("word").alias("given"), F.col("raw").alias("seldom")), "given")
     near = (
         rare.withColumn("k", F.explode(_cuts(F.col("given")))).join(known.withColumn("k", F.explode(_cuts(F.col("right")))), "k")
-        .where(_is_typo(F.col("given"), F.col("right"))).groupBy("given").agg(F.max_by("right", F.struct("rd", "right")).alias("fixed"))
+        .where((F.col("given") != F.col("right")) & (F.col("often") >= TYPO_RATIO * F.col("seldom"))).where(_is_typo(F.col("given"), F.col("right"))).groupBy("given").agg(F.max_by("right", F.struct("rd", "right")).alias("fixed"))
     )
     return out.join(near, "given", "left").withColumn("given", F.coalesce("fixed", "given")).drop("fixed")
 
 
-def entities(emails: DataFrame, max_rounds: int = 8) -> DataFrame:
+def entities(emails: DataFrame) -> DataFrame:
     """``entity, address, kind``: every sender address with ``@`` (lower-cased) and the entity it belongs to.
 
     Merge and rematch. Each address starts as an entity whose profile is the union of its spellings: surnames,
@@ -159,7 +164,7 @@ def entities(emails: DataFrame, max_rounds: int = 8) -> DataFrame:
 
     entity = cut(kinds.where("not org").select("address", F.col("address").alias("entity")))
     before = entity.select("entity").distinct().count()
-    for _ in range(max_rounds):
+    while True:  # each round but the last leaves fewer entities
         rows = evidence.join(entity, "address")
         votes = rows.where("fulls is not null").select("entity", F.explode("fulls").alias("full"), "w", F.size("fulls").alias("k")).groupBy("entity", "full").agg(F.sum("w").alias("w"), F.min("k").alias("k"))
         top = votes.groupBy("entity").agg(F.max("w").alias("top"))
