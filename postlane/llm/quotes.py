@@ -237,12 +237,12 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             f[10] = 1 if slash else 2 if f[7] else 0
             f[11] = _bin(contact)
             f[12] = nw <= 12 and _DEVICE.match(x) is not None
-            f[13] = signed and any(w in low for w in NOTICE)
             warn = (k == i or f[7]) and _WARNING.match(x) is not None
             f[14] = warn
             foot = any(w in low for w in FOOTER)
             f[15] = foot
             f[16] = 1 if hashes is not None and hashes[k] in frequent else 0
+            f[13] = (1 if signed else 2 if f[16] else 0) if (signed or f[16]) and any(w in low for w in NOTICE) else 0
             f[17] = _bin(lap)
             f[18] = min(7, nw)
             f[19] = ps
@@ -279,9 +279,11 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             if signed:
                 since += 1
                 label[k] = 1
+            elif f[13]:
+                label[k] = 1  # a notice that the sender repeats, without a closing before it
             elif f[21] and k >= last_text - 1 and nw <= 3:
                 label[k] = 2
-            elif f[16] and (f[25] or contact > 0) and nw <= 6:
+            elif f[16] and (f[25] or contact > 0):
                 label[k] = 2
             else:
                 label[k] = 0
@@ -346,12 +348,12 @@ def context(emails: DataFrame, mails: DataFrame, links: DataFrame, frequent: Dat
 
 
 def frequent_lines(emails: DataFrame, mails: DataFrame, share: float = 0.05) -> DataFrame:
-    """``sender, frequent``: hashes of the short lines that stand in at least ``share`` of a sender's mails, and in two at least.
+    """``sender, frequent``: hashes of the lines, of any length, that stand in at least ``share`` of a sender's mails, and in two at least.
 
     A share bounds their number by the mean number of lines over the share, however many mails the sender has.
     """
-    short = F.filter(F.transform(F.split("body_text", "\n"), _trimmed), lambda x: F.length(x).between(2, 50))
-    lines = emails.where("id is not null").select(F.xxhash64(F.lower("sender_email")).alias("sender"), F.explode(F.array_distinct(F.transform(short, lambda x: F.xxhash64(x)))).alias("h"))
+    written = F.filter(F.transform(F.split("body_text", "\n"), _trimmed), lambda x: F.length(x) >= 2)
+    lines = emails.where("id is not null").select(F.xxhash64(F.lower("sender_email")).alias("sender"), F.explode(F.array_distinct(F.transform(written, lambda x: F.xxhash64(x)))).alias("h"))
     per = lines.groupBy("sender", "h").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
     total = mails.groupBy("sender").agg(F.count(F.lit(1)).alias("m"))
     return per.join(total, "sender").where(F.col("c") >= F.col("m") * share).groupBy("sender").agg(F.collect_list("h").alias("frequent"))

@@ -29,3 +29,11 @@ def test_text_of_a_grandparent_that_the_parent_quotes(spark):
     got = _features(spark, rows)["c"]
     assert got[3][quotes._AT["overlap"]] == 7
     assert got[1][quotes._AT["overlap"]] == 0
+
+
+def test_a_long_notice_that_the_sender_repeats(spark):
+    notice = "This message is confidential and meant for the addressee only; please delete it if it reached you by mistake."
+    rows = [(n, f"m{n}", "ann@x.com", "Ann", f"{text}\n\n{notice}", f"t{n}", None, None, None) for n, text in enumerate(["The tables are ready.", "Shall we meet on Friday?", "Here is the list."])]
+    got = _features(spark, rows)["m1"]
+    assert (got[3][quotes._AT["frequency"]], got[3][quotes._AT["notice"]], got[3][quotes.SURE]) == (1, 2, 1)
+    assert (got[1][quotes._AT["frequency"]], got[1][quotes.SURE]) == (0, 0)
