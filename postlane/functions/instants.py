@@ -111,8 +111,35 @@ def zone_names() -> frozenset[str]:
     return frozenset(zoneinfo.available_timezones() - {"localtime"})
 
 
+#: Wall-clock years of the interval table. Before the first no zone has changed its offset; from ``RULES_FROM`` on every zone
+#: follows one rule for good, so a later year has the changes of a year of the table with the same calendar.
+FIRST_YEAR, RULES_FROM, LAST_YEAR = 1800, 2088, 2127
+
+
+def _same_calendar() -> dict[tuple[int, bool], int]:
+    """The first year from ``RULES_FROM`` on that begins on a weekday (Monday 0) and is a leap year or not."""
+    import calendar
+
+    out: dict[tuple[int, bool], int] = {}
+    for y in range(RULES_FROM, LAST_YEAR + 1):
+        out.setdefault((calendar.weekday(y, 1, 1), calendar.isleap(y)), y)
+    return out
+
+
+def table_time(wall: Column) -> tuple[Column, Column]:
+    """``(year, wall)``: the year of the interval table for a wall time (microseconds), and the wall time moved into it."""
+    at = F.timestamp_micros(wall)
+    year, begins = F.year(at), F.trunc(at, "year")
+    leap = F.dayofmonth(F.last_day(F.add_months(begins, 1))) == 29
+    stand_in = F.create_map(*[x for (day, is_leap), y in _same_calendar().items() for x in (F.lit(day * 2 + is_leap), F.lit(y))])
+    other = F.element_at(stand_in, F.weekday(begins) * 2 + leap.cast("int"))
+    moved = wall - (F.datediff(begins, F.make_date(other, F.lit(1), F.lit(1))).cast("long") * (86_400 * 1_000_000))
+    late = year > LAST_YEAR
+    return F.when(late, other).otherwise(F.greatest(F.lit(FIRST_YEAR), year)), F.when(late, moved).otherwise(wall)
+
+
 @lru_cache(maxsize=1024)
-def zone_intervals(name: str, first_year: int = 1970, last_year: int = 2050) -> list[tuple]:
+def zone_intervals(name: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> list[tuple]:
     """One IANA zone's offset intervals by wall-clock year: ``(zone, year, spans)``.
 
     A span has the wall times ``lo`` (with it), ``hi`` (without it) and ``reach``
@@ -149,14 +176,23 @@ def zone_intervals(name: str, first_year: int = 1970, last_year: int = 2050) ->
         y1 = int(dt.datetime(year + 1, 1, 1, tzinfo=utc).timestamp()) * 1_000_000 if year < last_year else far
         while at < len(full) and full[at][2] <= y0:
             at += 1
-        rows.append((name, year, [x for x in full[at : at + 40] if x[0] < y1 and x[2] > y0]))
+        end = at
+        while end < len(full) and full[end][0] < y1:
+            end += 1
+        rows.append((name, year, [x for x in full[at:end] if x[2] > y0]))
     return rows
 
 
 SPANS = "zone string, year int, spans array<struct<lo:bigint,hi:bigint,reach:bigint,offset_s:bigint>>"
 
 
-def zone_table(spark: SparkSession, names: list[str], first_year: int = 1970, last_year: int = 2050) -> DataFrame:
-    """The interval table of some zones; at most the IANA list times the years, about 48,000 rows."""
+def zone_table(spark: SparkSession, names: list[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
+    """The interval table of some zones; at most the IANA list times the years, 200,000 rows of some 100 bytes."""
+    import pyarrow as pa
+
     rows = [row for name in sorted(names) if name in zone_names() for row in zone_intervals(name, first_year, last_year)]
-    return spark.createDataFrame(rows, SPANS)
+    span = pa.struct([(c, pa.int64()) for c in ("lo", "hi", "reach", "offset_s")])
+    zones, years, spans = ([r[i] for r in rows] for i in range(3))
+    spans = [[dict(zip(("lo", "hi", "reach", "offset_s"), x)) for x in s] for s in spans]
+    at = pa.table({"zone": pa.array(zones, pa.string()), "year": pa.array(years, pa.int32()), "spans": pa.array(spans, pa.list_(span))})
+    return spark.createDataFrame(at, SPANS)

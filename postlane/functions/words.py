@@ -120,7 +120,7 @@ def clean_prompt(text: Column) -> tuple[Column, Column]:
     for name, pattern in PROMPT_MARKS:
         found.append(F.when(text.rlike(pattern), F.lit(name)))
         text = F.regexp_replace(text, pattern, "")
-    return F.trim(text), F.array_compact(F.array(*found))
+    return text, F.array_compact(F.array(*found))
 
 
 def name_quality(name: Column) -> Column:

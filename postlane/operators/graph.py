@@ -36,3 +36,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest_roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``node, root`` of every node of a forest given as ``node, up`` (one row a node that isn't a root).
+
+    Pointer doubling: each round hangs a node on the one above its upper node, so a chain of a million links takes 20
+    rounds. A node whose upper node is a root is settled and leaves; the rest look up the pointers of the round before. Roots
+    themselves, and nodes without link, aren't in the result. Cycles raise; null ends and loops are dropped.
+    """
+    pointers = cut(links.where("node is not null and up is not null and node != up").select("node", "up"))
+    settled, open_ = [], pointers
+    for _ in range(max_rounds):
+        above = pointers.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        step = cut(open_.join(above, "up", "left").select("node", "up", "further"))
+        settled.append(step.where("further is null").select("node", F.col("up").alias("root")))
+        open_ = step.where("further is not null").select("node", F.col("further").alias("up"))
+        if open_.isEmpty():
+            break
+        pointers = open_
+        for s in settled:
+            pointers = pointers.unionByName(s.select("node", F.col("root").alias("up")))
+    else:
+        raise RuntimeError(f"the links aren't a forest, or deeper than 2^{max_rounds}")
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out

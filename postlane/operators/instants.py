@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.functions.instants import CANONICAL, add_wall_time, zone_names, zone_table
+from postlane.functions.instants import CANONICAL, add_wall_time, table_time, zone_names, zone_table
 
 
 def normalise_instants(
-    rows: DataFrame, mailboxes: DataFrame, text: str = "received_date", mailbox: str = "mailbox", first_year: int = 1970, last_year: int = 2050
+    rows: DataFrame, mailboxes: DataFrame, text: str = "received_date", mailbox: str = "mailbox"
 ) -> DataFrame:
     """Adds ``utc_micros`` (long), ``zone_status`` and ``is_canonical`` to ``rows``.
 
@@ -20,8 +20,9 @@ def normalise_instants(
     Texts with their own offset are ``offset``, epoch counts ``epoch``.
 
     ``mailboxes`` has ``mailbox`` (any case), ``time_zone`` and ``date_order``; it holds one row per mailbox, and
-    its size is left to Spark's own broadcast threshold. The interval table is bounded by the IANA list (600
-    zones times the years) and broadcast.
+    its size is left to Spark's own broadcast threshold. The interval table holds the zones that occur and the years 1800 to
+    2127, is bounded by the IANA list and broadcast; earlier years have each zone's first offset, later ones the changes of a
+    year with the same calendar, so every year is exact.
 
     Null, empty and unreadable texts, and texts without zone from a mailbox that isn't known, give null. Extra
     columns pass through; columns of ``rows`` named like an added one are replaced. Repeated rows stay.
@@ -38,16 +39,17 @@ def normalise_instants(
     parsed = (
         add_wall_time(placed, F.col(f"`{text}`"), F.col("__order"))
         .withColumn("__zone", F.when(F.col("__wall").isNotNull() & F.col("__own").isNull(), F.coalesce("__zone", "__tz")))
-        .withColumn("__year", F.greatest(F.lit(first_year), F.least(F.lit(last_year), F.year(F.timestamp_micros("__wall")))))
+        .withColumns(dict(zip(("__year", "__in_table"), table_time(F.col("__wall")))))
     )
     known = sorted(zone_names())
     named = rows.select(F.regexp_extract(F.col(f"`{text}`"), r"\[([A-Za-z_]+/[A-Za-z0-9_+/-]+)\]", 1).alias("z")).unionByName(boxes.select(F.col("__tz").alias("z")))
     used = [r.z for r in named.where(F.col("z").isin(known)).distinct().collect()]  # no more than the IANA list
-    spans = zone_table(spark, used, first_year, last_year).select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
+    spans = zone_table(spark, used).select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
     joined = parsed.join(F.broadcast(spans), ["__zone", "__year"], "left")
     wall, own, epoch, near, exact = (F.col(c) for c in ("__wall", "__own", "__epoch", "__near", "__exact"))
-    joined = joined.withColumn("__near", F.filter("__spans", lambda x: (x["lo"] <= wall) & (wall < x["reach"])))
-    joined = joined.withColumn("__exact", F.filter(near, lambda x: wall < x["hi"]))
+    moved = F.col("__in_table")
+    joined = joined.withColumn("__near", F.filter("__spans", lambda x: (x["lo"] <= moved) & (moved < x["reach"])))
+    joined = joined.withColumn("__exact", F.filter(near, lambda x: moved < x["hi"]))
     held = F.transform(F.when(F.size(exact) > 0, exact).otherwise(near), lambda x: x["offset_s"])
     status = (
         F.when(epoch.isNotNull(), "epoch").when(wall.isNull(), None).when(own.isNotNull(), "offset")

@@ -468,8 +468,8 @@ _NAMES = """list_filter(regexp_extract_all({c}, '[^\\s"''<>\\[\\]{{}},;\\\\]+'),
 
 
 @query(f"""{M}, g AS (SELECT id, {_NAMES.format(c='in_reply_to')} AS r, {_NAMES.format(c='references_json')} AS f FROM m),
-    x AS (SELECT id, unnest(f) AS name, 0 AS rank, unnest(range(len(f))) AS at FROM g UNION ALL SELECT id, r[1], 1, 0 FROM g WHERE r[1] IS NOT NULL)
-    SELECT x.id, arg_max(name, (rank, at)) AS parent FROM x JOIN m ON m.id = x.name WHERE name <> x.id GROUP BY 1""")
+    x AS (SELECT id, unnest(f) AS name, 0 AS rank, unnest(range(len(f))) AS place FROM g UNION ALL SELECT id, r[1], 1, 0 FROM g WHERE r[1] IS NOT NULL)
+    SELECT x.id, arg_max(name, (rank, place)) AS parent FROM x JOIN m ON m.id = x.name WHERE name <> x.id GROUP BY 1""")
 def j2_parent_links(spark, d):
     return threads.parent_links(threadable(spark, d))
 
@@ -545,8 +545,8 @@ def f5_subject_prefix(spark, d):
     return mails(spark, d).select("id", W.subject_prefix(F.col("subject")).alias("prefix"))
 
 
-@query(f"""{M} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body_text, '(?im)^\\s*system\\s*:', '', 'g'), '(?im)^\\s*assistant\\s*:', '', 'g'),
-    '(?im)^\\s*user\\s*:', '', 'g'), '(?im)^\\s*human\\s*:', '', 'g'), '(?i)\\[/?INST\\]', '', 'g'), '(?i)<</?SYS>>', '', 'g'), '(?i)</s>', '', 'g'), '```', '', 'g')) AS text FROM m""")
+@query(f"""{M} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body_text, '(?im)^\\s*system\\s*:', '', 'g'), '(?im)^\\s*assistant\\s*:', '', 'g'),
+    '(?im)^\\s*user\\s*:', '', 'g'), '(?im)^\\s*human\\s*:', '', 'g'), '(?i)\\[/?INST\\]', '', 'g'), '(?i)<</?SYS>>', '', 'g'), '(?i)</s>', '', 'g'), '```', '', 'g') AS text FROM m""")
 def f20_clean_prompt(spark, d):
     return mails(spark, d).select("id", W.clean_prompt(F.col("body_text"))[0].alias("text"))
 
@@ -559,7 +559,7 @@ def f22_slugs(spark, d):
 @query("SELECT id, details_json ->> '$.to' AS target FROM action_log WHERE json_valid(details_json)")
 def f16_json_details(spark, d):
     a = table(spark, d, "action_log").withColumn("m", F.from_json("details_json", "map<string,string>"))
-    return a.where(F.size("m") > 0).select("id", F.col("m")["to"].alias("target"))
+    return a.where("m is not null").select("id", F.col("m")["to"].alias("target"))
 
 
 # ---- relational vocabulary over the other tables

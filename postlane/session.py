@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +30,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FORGOTTEN: set[str] = set()
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder in ``spark.checkpoint.dir``; a local session without one uses a folder beside its warehouse."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="postlane-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        sc.setCheckpointDir(shared)
+    own = sc._jsc.sc().getCheckpointDir().get()
+    if own not in _FORGOTTEN:
+        # the application's own folder in the shared one; it goes when the application ends
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _FORGOTTEN.add(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table written into the shared folder; unlike a checkpoint it is compressed and its size is known to the planner."""
+    return stage(df, "cut")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
