@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlane.operators.graph import connected_components
+from postlane.operators.graph import connected_components, forest_roots
 from postlane.operators.instants import mailbox_settings, normalise_instants
 from postlane.operators.ranking import running
-from postlane.session import stage
+from postlane.session import cut, stage
 
 # What exporters write for "no value".
 NONE_WORDS = ["", "null", "none", "nil", "undefined", "n/a", "na", "nan", "-", "0", "unknown"]
 VISIBLE = r"[^\s\p{Z}\p{C}]"
 
-#: Weights of the evidence for a link. A header outweighs all other evidence together; within one rank of headers
-#: time, mention and words decide.
+#: Weights of the evidence for a link. A header outweighs all other evidence together; among the names of one header, and within
+#: a thread, time, mention and words decide.
 W_REPLY, W_LAST_REFERENCE, W_REFERENCE, W_THREAD = 8.0, 6.0, 4.0, 2.0
 W_TIME, W_MENTION, W_WORDS = 0.6, 0.6, 0.6
 
@@ -38,18 +38,40 @@ def _words(c: Column) -> Column:
 
 
 def messages(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
-    """One row per ``id`` (the first delivered; rows without id are left out) with what linking needs."""
+    """One row per ``id`` (the first delivered; rows without id are left out) with what linking needs; ``pos`` is its key."""
     narrow = emails.where(F.col("id").isNotNull()).select(
         "pos", "id", "mailbox", "received_date", F.lower("sender_email").alias("sender"), F.lower(F.trim("recipient_email")).alias("recipient"), "subject",
         F.coalesce(F.col("body_text").rlike(VISIBLE), F.lit(False)).alias("has_text"), real_value(F.col("thread_id")).alias("thread"),
         names_in(F.col("in_reply_to")).alias("reply"), names_in(F.col("references_json")).alias("refs"), F.get(names_in(F.col("provider_message_id")), F.lit(0)).alias("message_id"),
     )
-    first = narrow.groupBy("id").agg(F.min_by(F.struct(*[c for c in narrow.columns if c != "id"]), "pos").alias("m")).select("id", "m.*")
-    return normalise_instants(first, mailbox_settings(corpus_metadata)).drop("received_date", "mailbox", "is_canonical", "zone_status")
+    dated = normalise_instants(narrow, mailbox_settings(corpus_metadata)).drop("received_date", "mailbox", "is_canonical", "zone_status")
+    return dated.groupBy("id").agg(F.min_by(F.struct(*[c for c in dated.columns if c != "id"]), "pos").alias("m")).select("id", "m.*")
+
+
+def named_mails(mails: DataFrame) -> DataFrame:
+    """``pos, names_missing, answers, named`` of each mail whose headers name any.
+
+    ``named`` are the mails named that exist, as ``(w, parent)``: the weight of the header and the ``pos`` of the mail;
+    ``names_missing`` tells whether one doesn't exist; ``answers`` is the mail answered: in_reply_to, without it the
+    last reference. A name is an id or a provider message id.
+    """
+    names = mails.select(F.col("id").alias("name"), "pos").unionByName(mails.where("message_id is not null").select(F.col("message_id").alias("name"), "pos"))
+    names = names.groupBy("name").agg(F.min("pos").alias("parent"))
+    n_reply, n_refs = F.size("reply"), F.size("refs")
+    given = mails.where((n_reply > 0) | (n_refs > 0)).select("pos", n_reply.alias("n_reply"), n_refs.alias("n_refs"), F.posexplode(F.concat("reply", "refs")).alias("place", "name"))
+    is_reply, is_last = F.col("place") < F.col("n_reply"), F.col("place") == F.col("n_reply") + F.col("n_refs") - 1
+    weight = F.when(is_reply, W_REPLY).when(is_last, W_LAST_REFERENCE).otherwise(W_REFERENCE)
+    answers = (F.col("place") == 0) & is_reply | (F.col("n_reply") == 0) & is_last
+    found = given.select("pos", "name", weight.alias("w"), answers.alias("is_answer")).join(names, "name", "left")
+    there = F.col("parent").isNotNull() & (F.col("parent") != F.col("pos"))
+    return found.groupBy("pos").agg(
+        F.max(F.col("parent").isNull()).alias("names_missing"), F.min(F.when(F.col("is_answer"), F.col("parent"))).alias("answers"),
+        F.collect_set(F.when(there, F.struct("w", "parent"))).alias("named"),  # no more than a mail's own headers hold
+    )
 
 
 def thread_candidates(mails: DataFrame, linked: DataFrame) -> DataFrame:
-    """``id, parent``: the earlier mails of its thread that can be the likeliest parent of each mail not in ``linked``.
+    """``pos, parent``: the earlier mails of its thread that can be the likeliest parent of each mail not in ``linked``.
 
     The score falls with time and else depends on mention and shared subject words alone, so the best of all earlier
     mails is among the latest one, the latest from the recipient, the latest to the sender, and the same three
@@ -57,14 +79,14 @@ def thread_candidates(mails: DataFrame, linked: DataFrame) -> DataFrame:
     number of the candidates of a key, by ranges, so that a hot thread is many tasks. Mails of one instant follow ``pos``.
     """
     words = _words(F.col("subject"))
-    pool = mails.where("thread is not null").select("id", "pos", "thread", "sender", "recipient", F.coalesce("utc_micros", F.lit(0)).alias("utc_micros"), words.alias("words"), F.array_join(F.sort_array(words), " ").alias("topic"))
-    asking = pool.join(linked, "id", "left_anti")
-    pool = pool.join(asking.select("thread").distinct(), "thread", "left_semi")
-    topics = lambda df, name: df.select("thread", F.col("topic").alias(name), F.explode("words").alias("word")).distinct()
+    pool = mails.where("thread is not null").select("pos", "thread", "sender", "recipient", F.coalesce("utc_micros", F.lit(0)).alias("utc_micros"), words.alias("words"), F.array_join(F.sort_array(words), " ").alias("topic"))
+    sizes = pool.groupBy("thread").agg(F.count(F.lit(1)).alias("size"), (F.min("topic") != F.max("topic")).alias("several")).where("size > 1").drop("size")
+    asking = cut(pool.join(linked, "pos", "left_anti").join(sizes, "thread"))
+    pool = pool.join(sizes, "thread").join(asking.select("thread").distinct(), "thread", "left_semi")
+    topics = lambda df, name: df.where("several").select("thread", F.col("topic").alias(name), F.explode("words").alias("word")).distinct()
     shared = topics(asking, "topic").join(topics(pool, "other"), ["thread", "word"]).select("thread", "topic", "other").distinct()
     asked = asking.withColumn("other", F.lit("")).drop("topic").unionByName(asking.join(shared, ["thread", "topic"]).drop("topic"))
-    several = pool.groupBy("thread").agg(F.min("topic").alias("t0"), F.max("topic").alias("t1")).where("t0 != t1").select("thread", F.lit(True).alias("several"))
-    offered = pool.join(several, "thread", "left").withColumn("other", F.explode(F.when(F.col("several"), F.array_distinct(F.array(F.lit(""), "topic"))).otherwise(F.array(F.lit("")))))
+    offered = pool.withColumn("other", F.explode(F.when(F.col("several"), F.array_distinct(F.array(F.lit(""), "topic"))).otherwise(F.array(F.lit("")))))
 
     def keyed(df: DataFrame, role: int, from_: str, to: str) -> DataFrame:
         def part(kind, *who):
@@ -76,90 +98,96 @@ def thread_candidates(mails: DataFrame, linked: DataFrame) -> DataFrame:
 
     rows = keyed(asked, 0, "recipient", "sender").unionByName(keyed(offered, 1, "sender", "recipient"))
     numbered = stage(running(rows, "key", [F.col("utc_micros"), F.col("pos"), F.col("role")], value=F.col("role"), name="n"), "thread-order")
-    latest = numbered.where("role = 1").select("key", "n", F.col("pos").alias("parent_pos"))
-    found = numbered.where("role = 0").select("key", "n", "pos").join(latest, ["key", "n"]).select("pos", "parent_pos").distinct()
-    return found.join(mails.select("id", "pos"), "pos").join(mails.select(F.col("id").alias("parent"), F.col("pos").alias("parent_pos")), "parent_pos").select("id", "parent")
+    latest = numbered.where("role = 1").select("key", "n", F.col("pos").alias("parent"))
+    return numbered.where("role = 0").select("key", "n", "pos").join(latest, ["key", "n"]).select("pos", "parent").distinct()
 
 
-def reply_links(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(links, named)``.
+def reply_links(mails: DataFrame, named: DataFrame, weights: tuple[float, float, float] = (W_TIME, W_MENTION, W_WORDS)) -> DataFrame:
+    """``pos, parent, score``: the likeliest parent of each mail that has a candidate.
 
-    ``named``: each name a mail gives, resolved by id or provider message id: ``id, kind, place, parent`` (null
-    where no such mail exists); kind is ``reply`` or ``ref``. ``links``: the likeliest parent of each mail that
-    has a candidate: ``id, parent, score``. Candidates are the named mails and, for a mail that names none which
-    exists (a name outweighs them all), those of ``thread_candidates``; a link is scored by the header that names it, how close the two are in time, whether the mail is addressed to
-    the candidate's sender and the words their subjects share. Ties go to the larger instant, then the smaller id.
+    Candidates are the mails that its headers name and, for a mail that names none which exists (a name outweighs
+    them all), those of ``thread_candidates``. A link is scored by the header that names it, how close the two are in time,
+    whether the mail is addressed to the candidate's sender, or came from whom the candidate was addressed to, and the words their subjects share
+    (``weights``). Of the names of one mail only those of the heaviest header are scored, as no other evidence makes up for a
+    header. A parent is earlier than its mail, in time or at the same instant by ``pos``, so the links are a forest.
+    Ties go to the larger instant, then the smaller ``pos``.
     """
-    names = mails.select(F.col("id").alias("name"), F.col("id").alias("target")).unionByName(
-        mails.where(F.col("message_id").isNotNull()).select(F.col("message_id").alias("name"), F.col("id").alias("target"))
-    ).groupBy("name").agg(F.min("target").alias("target"))
-    given = mails.select("id", F.posexplode(F.concat(
-        F.transform("reply", lambda x: F.struct(F.lit("reply").alias("kind"), x.alias("name"))), F.transform("refs", lambda x: F.struct(F.lit("ref").alias("kind"), x.alias("name")))
-    )).alias("place", "g"), F.size("reply").alias("n_reply"), F.size("refs").alias("n_refs")).select("id", "place", "g.kind", "g.name", "n_reply", "n_refs")
-    named = given.join(names, "name", "left").select("id", "kind", "place", F.col("target").alias("parent"), ((F.col("kind") == "ref") & (F.col("place") == F.col("n_reply") + F.col("n_refs") - 1)).alias("is_last"), "n_reply")
-    named = stage(named, "named")
-
-    by_name = named.where("parent is not null and parent != id").select("id", "parent", F.when(F.col("kind") == "reply", W_REPLY).when(F.col("is_last"), W_LAST_REFERENCE).otherwise(W_REFERENCE).alias("w"))
-    by_thread = thread_candidates(mails, by_name.select("id").distinct()).withColumn("w", F.lit(W_THREAD))
-    candidates = by_name.unionByName(by_thread).groupBy("id", "parent").agg(F.max("w").alias("w"))
-    about = mails.select("id", "sender", "recipient", "utc_micros", _words(F.col("subject")).alias("words"))
-    pairs = candidates.join(about, "id").join(about.select(*[F.col(c).alias("parent" if c == "id" else f"p_{c}") for c in about.columns]), "parent")
-    days = (F.col("utc_micros") - F.col("p_utc_micros")) / 86_400e6
+    time, mention, shared = weights
+    heaviest = F.array_max("named")["w"]
+    by_name = named.where(F.size("named") > 0).select("pos", F.explode(F.filter("named", lambda x: x["w"] == heaviest)).alias("x")).select("pos", "x.parent", "x.w")
+    by_thread = thread_candidates(mails, by_name.select("pos").distinct()).withColumn("w", F.lit(W_THREAD))
+    # two independent hashes of a thread stand for it, so that a candidate of another thread can't slip in
+    thread = F.when(F.col("thread").isNotNull(), F.xxhash64(F.lit(1), "thread"))
+    address = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    about = mails.select("pos", address("sender"), address("recipient"), F.coalesce("utc_micros", F.lit(0)).alias("utc"), F.transform(_words(F.col("subject")), lambda x: F.hash(x)).alias("words"), thread.alias("thread"))
+    parent = about.select(F.col("pos").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in about.columns if c != "pos"])
+    pairs = by_name.unionByName(by_thread).join(about, "pos").join(parent, "parent")
+    pairs = pairs.where((F.struct("p_utc", "parent") < F.struct("utc", "pos")) & ((F.col("w") > W_THREAD) | F.col("thread").eqNullSafe(F.col("p_thread"))))
+    days = (F.col("utc") - F.col("p_utc")) / 86_400e6
     union = F.size(F.array_union("words", "p_words"))
     score = (
-        F.col("w")
-        + W_TIME * F.coalesce(F.when(days >= 0, 1 / (1 + days)), F.lit(0.0))
-        + W_MENTION * F.coalesce(((F.col("recipient") == F.col("p_sender")) | (F.col("sender") == F.col("p_recipient"))).cast("double"), F.lit(0.0))
-        + W_WORDS * F.coalesce(F.when(union > 0, F.size(F.array_intersect("words", "p_words")) / union), F.lit(0.0))
-    )
-    best = pairs.withColumn("score", score).groupBy("id").agg(
-        F.max_by(F.struct("parent", "score"), F.struct(F.col("score"), F.coalesce("p_utc_micros", F.lit(0)))).alias("b")
-    )
-    return best.select("id", "b.parent", "b.score"), named
+        F.col("w") + time / (1 + days)
+        + mention * F.coalesce(((F.col("recipient") == F.col("p_sender")) | (F.col("sender") == F.col("p_recipient"))).cast("double"), F.lit(0.0))
+        + shared * F.coalesce(F.when(union > 0, F.size(F.array_intersect("words", "p_words")) / union), F.lit(0.0))
+    )
+    best = pairs.select("pos", F.struct(score.alias("score"), "p_utc", (-F.col("parent")).alias("p")).alias("link")).groupBy("pos").agg(F.max("link").alias("b"))
+    return best.select("pos", (-F.col("b.p")).alias("parent"), F.col("b.score").alias("score"))
+
+
+def link_trees(mails: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
+    """``pos, tree, comp``: the tree of each mail in the forest of its links, and the conversation.
+
+    The trees come from the likeliest parents alone. A mail has one parent but may name several others, and threads hold
+    mails that answer nobody; so trees are completed to conversations by the names that were not chosen and by shared
+    threads, which join whole trees. ``tree`` and ``comp`` are the ``pos`` of one of their mails.
+    """
+    roots = forest_roots(links.select(F.col("pos").alias("node"), F.col("parent").alias("up")))
+    trees = stage(mails.select("pos", "thread").join(roots.withColumnRenamed("node", "pos"), "pos", "left").select("pos", "thread", F.coalesce("root", "pos").alias("tree")), "trees")
+    others = named.select("pos", F.explode("named.parent").alias("parent")).distinct().join(links.select("pos", "parent"), ["pos", "parent"], "left_anti")
+    at = trees.select("pos", "tree")
+    by_name = others.join(at.withColumnRenamed("tree", "a"), "pos").join(at.select(F.col("pos").alias("parent"), F.col("tree").alias("b")), "parent").select("a", "b")
+    in_thread = trees.where("thread is not null").select("thread", "tree").distinct()
+    first = in_thread.groupBy("thread").agg(F.min("tree").alias("b"), F.max("tree").alias("last")).where("b < last").select("thread", "b")
+    by_thread = in_thread.join(first, "thread").select(F.col("tree").alias("a"), "b")
+    comp = connected_components(by_name.unionByName(by_thread).where("a != b"))
+    return at.join(comp, F.col("tree") == F.col("node"), "left").select("pos", "tree", F.coalesce("component", "tree").alias("comp"))
 
 
 def conversations(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
     """``conv_id, turn, role, email_id, parent_id, link_score, utc_micros`` of each mail of each conversation kept.
 
-    Mails form one conversation over all links (names in headers, a shared real thread id). Within it each mail
-    hangs on its likeliest parent (``reply_links``; null for a mail without candidate). A conversation is kept if
+    Each mail hangs on its likeliest parent (``reply_links``; null for a mail without candidate); the links form trees, and
+    trees that a further name or a shared real thread id ties together are one conversation (``link_trees``). A
+    conversation is kept if
     it has two mails and two senders at least, every mail named in it exists, every date is readable, every body
     has a visible character and no mail is dated before the one its headers say it answers. ``turn`` follows the
     instants, ties by id; the sender of turn 1 is the ``user``, everybody else the ``assistant``.
 
-    Repeated deliveries count once, rows without id are left out, empty tables give no rows. The components run on
-    a contracted graph: mails of a thread are one node to begin with, so only links between threads and loose
-    mails remain.
+    Repeated deliveries count once, rows without id are left out, empty tables give no rows. All steps go by ``pos``.
     """
     mails = stage(messages(emails, corpus_metadata), "messages")
-    links, named = reply_links(mails)
-    label = F.coalesce(F.concat(F.lit("t:"), "thread"), F.concat(F.lit("m:"), "id"))
-    labels = mails.select("id", label.alias("label"))
-    spans = named.where("parent is not null and parent != id").select("id", "parent").distinct()
-    edges = spans.join(labels.withColumnRenamed("label", "a"), "id").join(labels.select(F.col("id").alias("parent"), F.col("label").alias("b")), "parent").select("a", "b").where("a != b")
-    component = connected_components(edges)
-    placed = mails.withColumn("label", label).join(component, F.col("label") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "label"))
-    # the mail that is answered: in_reply_to, without it the last reference
-    answered = named.where("kind = 'reply' and place = 0 or (n_reply = 0 and is_last)").groupBy("id").agg(F.min("parent").alias("answers"))
-    missing = named.groupBy("id").agg(F.max(F.col("parent").isNull()).alias("names_missing"))
-    instants = mails.select(F.col("id").alias("answers"), F.col("utc_micros").alias("answered_at"))
-    full = placed.join(answered, "id", "left").join(missing, "id", "left").join(instants, "answers", "left")
+    named = stage(named_mails(mails), "named")
+    links = stage(reply_links(mails, named), "links")
+    placed = link_trees(mails, links, named)
+    instants = mails.select(F.col("pos").alias("answers"), F.col("utc_micros").alias("answered_at"))
+    answered = named.select("pos", "names_missing", "answers").join(instants, "answers", "left").drop("answers")
+    full = mails.select("pos", "id", "sender", "utc_micros", "has_text").join(placed, "pos").join(answered, "pos", "left")
     full = stage(full.select(
-        "id", "comp", "sender", "utc_micros", "pos",
+        "pos", "id", "comp", "sender", "utc_micros",
         (F.coalesce("names_missing", F.lit(False)) | ~F.col("has_text") | F.col("utc_micros").isNull() | F.coalesce(F.col("utc_micros") < F.col("answered_at"), F.lit(False))).alias("bad"),
     ), "placed")
     kept = full.groupBy("comp").agg(
-        F.count(F.lit(1)).alias("n"), F.min("sender").alias("s0"), F.max("sender").alias("s1"), F.max("bad").alias("bad"), F.min_by(F.struct("id", "sender"), F.struct("utc_micros", "id")).alias("opener")
+        F.count(F.lit(1)).alias("n"), F.min("sender").alias("s0"), F.max("sender").alias("s1"), F.max("bad").alias("bad"), F.min(F.struct("utc_micros", "id", "sender")).alias("opener")
     ).where("n >= 2 and s0 != s1 and not bad").select("comp", F.col("opener.id").alias("conv_id"), F.col("opener.sender").alias("opened_by"))
-    rows = full.join(kept, "comp").select("conv_id", F.col("id").alias("email_id"), "sender", "opened_by", "utc_micros")
+    rows = full.join(kept, "comp").select("conv_id", "pos", F.col("id").alias("email_id"), (F.col("sender") == F.col("opened_by")).alias("is_opener"), "utc_micros")
     turns = running(rows, "conv_id", [F.col("utc_micros"), F.col("email_id")], name="turn")
-    return turns.join(links.select(F.col("id").alias("email_id"), F.col("parent").alias("parent_id"), F.col("score").alias("link_score")), "email_id", "left").select(
-        "conv_id", "turn", F.when(F.col("sender") == F.col("opened_by"), "user").otherwise("assistant").alias("role"), "email_id", "parent_id", "link_score", "utc_micros"
-    )
+    parent_of = links.join(mails.select(F.col("pos").alias("parent"), F.col("id").alias("parent_id")), "parent").select("pos", "parent_id", F.col("score").alias("link_score"))
+    return turns.join(parent_of, "pos", "left").select("conv_id", "turn", F.when(F.col("is_opener"), "user").otherwise("assistant").alias("role"), "email_id", "parent_id", "link_score", "utc_micros")
 
 
 def conversation_texts(emails: DataFrame, corpus_metadata: DataFrame) -> DataFrame:
     """The kept turns with their subject and whole text."""
-    text = emails.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("subject", "body_text"), "pos").alias("t"))
-    turns = conversations(emails, corpus_metadata)
-    return turns.join(text, turns.email_id == text.id).select("conv_id", "turn", "role", "email_id", "parent_id", F.col("t.subject").alias("subject"), F.col("t.body_text").alias("text"))
+    first = emails.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("pos").alias("pos"))
+    turns = conversations(emails, corpus_metadata).join(first, F.col("email_id") == F.col("id")).drop("id")
+    text = emails.select("pos", "subject", F.col("body_text").alias("text"))
+    return turns.join(text, "pos").select("conv_id", "turn", "role", "email_id", "parent_id", "subject", "text")

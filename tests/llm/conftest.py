@@ -5,4 +5,6 @@ from postlane.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(2, "tests")
+    s = local_session(4, "tests")
+    s.conf.set("spark.sql.shuffle.partitions", "3")
+    return s
