@@ -71,35 +71,38 @@ def named_mails(mails: DataFrame) -> DataFrame:
 
 
 def thread_candidates(mails: DataFrame, linked: DataFrame) -> DataFrame:
-    """``pos, parent``: the earlier mails of its thread that can be the likeliest parent of each mail not in ``linked``.
+    """``pos, parent``: the earlier mails of its thread that may be the likeliest parent of each mail not in ``linked``.
 
-    The score falls with time and else depends on mention and shared subject words alone, so the best of all earlier
-    mails is among the latest one, the latest from the recipient, the latest to the sender, and the same three
-    for each subject of the thread that shares a word, where the thread has several. Each is an as-of join: the running
+    The score falls with time and else depends on mention and shared subject words, so the candidates of a mail are the
+    latest earlier mail of its thread, the latest from its recipient and the latest to its sender; in threads with several
+    subjects also these three with its own subject, and the latest mail with each word of its subject. Keys grow with
+    the words of a subject, not with the mails or subjects of the thread. Each is an as-of join: the running
     number of the candidates of a key, by ranges, so that a hot thread is many tasks. Mails of one instant follow ``pos``.
     """
     words = _words(F.col("subject"))
-    pool = mails.where("thread is not null").select("pos", "thread", "sender", "recipient", F.coalesce("utc_micros", F.lit(0)).alias("utc_micros"), words.alias("words"), F.array_join(F.sort_array(words), " ").alias("topic"))
-    sizes = pool.groupBy("thread").agg(F.count(F.lit(1)).alias("size"), (F.min("topic") != F.max("topic")).alias("several")).where("size > 1").drop("size")
-    asking = cut(pool.join(linked, "pos", "left_anti").join(sizes, "thread"))
-    pool = pool.join(sizes, "thread").join(asking.select("thread").distinct(), "thread", "left_semi")
-    topics = lambda df, name: df.where("several").select("thread", F.col("topic").alias(name), F.explode("words").alias("word")).distinct()
-    shared = topics(asking, "topic").join(topics(pool, "other"), ["thread", "word"]).select("thread", "topic", "other").distinct()
-    asked = asking.withColumn("other", F.lit("")).drop("topic").unionByName(asking.join(shared, ["thread", "topic"]).drop("topic"))
-    offered = pool.withColumn("other", F.explode(F.when(F.col("several"), F.array_distinct(F.array(F.lit(""), "topic"))).otherwise(F.array(F.lit("")))))
+    pool = mails.where("thread is not null").select("pos", "thread", "sender", "recipient", F.coalesce("utc_micros", F.lit(0)).alias("utc_micros"), words.alias("words"), F.hash(F.sort_array(words)).alias("topic"))
+    # threads of several mails of which one at least asks, with whether they have several subjects
+    marked = pool.join(linked.withColumn("has_link", F.lit(True)), "pos", "left")
+    threads = marked.groupBy("thread").agg(F.count(F.lit(1)).alias("size"), (F.min("topic") != F.max("topic")).alias("several"), F.max(F.col("has_link").isNull()).alias("asks")).where("size > 1 and asks").select("thread", "several")
+    rows = marked.join(threads, "thread")
 
-    def keyed(df: DataFrame, role: int, from_: str, to: str) -> DataFrame:
+    def keys(from_: str, to: str):
         def part(kind, *who):
-            text = F.concat("thread", F.lit("\n"), "other", F.lit(f"\n{kind}"), *who)
+            text = F.concat("thread", F.lit(f"\n{kind}\n"), *who)
             return F.when(text.isNotNull(), F.xxhash64(text))
 
-        keys = F.array(part("any"), part("from ", from_), part("to ", to))
-        return df.select(F.explode(keys).alias("key"), "utc_micros", "pos", F.lit(role).cast("long").alias("role")).where("key is not null")
+        topic = F.col("topic").cast("string")
+        plain = [part("any"), part("from", from_), part("to", to)]
+        more = [part("any of", topic), part("from of", topic, F.lit(" "), from_), part("to of", topic, F.lit(" "), to)]
+        return F.concat(F.array(*plain), F.when(F.col("several"), F.concat(F.array(*more), F.transform("words", lambda w: part("word", w)))).otherwise(F.array()))
+
+    def keyed(df: DataFrame, role: int, from_: str, to: str) -> DataFrame:
+        return df.select(F.explode(keys(from_, to)).alias("key"), "utc_micros", "pos", F.lit(role).cast("byte").alias("role")).where("key is not null")
 
-    rows = keyed(asked, 0, "recipient", "sender").unionByName(keyed(offered, 1, "sender", "recipient"))
-    numbered = stage(running(rows, "key", [F.col("utc_micros"), F.col("pos"), F.col("role")], value=F.col("role"), name="n"), "thread-order")
-    latest = numbered.where("role = 1").select("key", "n", F.col("pos").alias("parent"))
-    return numbered.where("role = 0").select("key", "n", "pos").join(latest, ["key", "n"]).select("pos", "parent").distinct()
+    both = keyed(rows.where("has_link is null"), 0, "recipient", "sender").unionByName(keyed(rows, 1, "sender", "recipient"))
+    numbered = stage(running(both, "key", [F.col("utc_micros"), F.col("pos"), F.col("role")], value=F.col("role"), name="n"), "thread-order")
+    asked = numbered.where("role = 0 and n > 0").select("key", "n", "pos")
+    return asked.join(numbered.where("role = 1").select("key", "n", F.col("pos").alias("parent")), ["key", "n"]).select("pos", "parent").distinct()
 
 
 def reply_links(mails: DataFrame, named: DataFrame, weights: tuple[float, float, float] = (W_TIME, W_MENTION, W_WORDS)) -> DataFrame:
