@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +38,9 @@ _DOMAIN = re.compile(r"@[\w\-]+(?:\.[\w\-]+)+")
 _DOT_WORD = r"(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\[punkt\]|\(punkt\)|\[\.\]|\(\.\))\s?|\s(?:dot|punkt|punto|point|kropka|punt)\s)"
 _DOT = rf"(?:{_DOT_WORD}|\.)"
 _SPELLED = re.compile(rf"((?:[\w.+\-]+{_DOT_WORD})*[\w.+\-]+)(?:\s?(?:\[at\]|\(at\)|\{{at\}}|\[a\]|\[ät\]|\(ät\)|\[arroba\]|\(arroba\)|\[małpa\]|\(małpa\)|\[@\]|\(@\))\s?|\s(?:at|arroba|małpa|arobase|chiocciola)\s|\s@\s|\s@(?=\w)|(?<=\w)@\s)([\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}[a-z]{{2,}})\b", re.I)
-_HINT = re.compile(r"[\[({](?:at|ät|@|arroba|małpa|a)[\])}]|\s@|@\s|\s(?:at|arroba|małpa|arobase|chiocciola) (?=[\w\-]+(?:\.[a-z]|[ \[({](?:dot|punkt|punto|point|kropka)))", re.I)
+_HINT = re.compile(rf"[\[({{](?:at|ät|@|arroba|małpa|a)[\])}}]|\s@|@\s|\s(?:at|arroba|małpa|arobase|chiocciola)\s(?=[\w\-]+{_DOT}[\w\-])", re.I)
+#: What every separator contains, in lower case.
+_HINT_PARTS = (" @", "@ ", "\n@", "@\n", "@\r", "\t@", "@\t", "@]", "@)", "@}", " at ", "\nat ", "\tat ", "at\n", "(at", "[at", "{at", "[a]", "(a)", "{a}", "ät", "arroba", "małpa", "arobase", "chiocciola")
 _NUMBER = re.compile(r"(?<![\w.\-/#+(])(?:\+\d|\(\+?\d{1,4}\)|[A-Z]{3} (?=\d{6}\b)|[A-Z]{0,3}\d)\w*(?:(?:[ .\-/()]{1,2}|[ \t]*\r?\n(?:[ \t]*(?:[>|»]|[^\W\d_]{1,3}>)[ \t]?)*)\d+|-[A-Z]\b)*(?:\s?ext\.?\s?\d{1,5})?")
 _ID_WORD = re.compile(rf"(?<!\w)(?:{ID_WORDS})(?!\w)[^\d\n]{{0,34}}$", re.I)
 _PHONE_WORD = re.compile(rf"(?<!\w)(?:{PHONE_WORDS})\.?(?!\w)[^\d\n]{{0,46}}$", re.I)
@@ -49,7 +53,7 @@ _ID_SHAPE = re.compile(
     r"A9{8}$|9{4} 9{4} 9{2}$|9{3}-99-9{4}$|A99A99A9{3}$|99 9{3} 9{3} 9{3}$|9{8}-?A$|A-?9{7}-?A$|9{11}$|A{3} ?9{6}$|9{9}$|9{4}\.99\.9{3}$|9 99 99 99 9{3} 9{3}(?: 99)?$|9{10}$|9{12,13}$|9{15}$|A{2} ?99 ?99 ?99 ?A$|9{3}\.9{3}\.9{3}-99$|A{1,2}9{7,9}$|9{3} 9{3} 9{3}$|9{6}[-+]9{4}$|9{3}-9{3}-99-99$|[9A]{9}$"
 )
 # streets are looked for around house numbers
-_HOUSE = re.compile(r"(?<![\w/.,+#\-])\d{1,4}(?![\d.:%])[a-zA-Z]?(?!\w)")
+_HOUSE = re.compile(r"(?<![\w/.,+#\-])\d{1,6}(?![\d.:%])[a-zA-Z]?(?!\w)")
 _PARTICLE = r"(?:(?:de|du|des|d|la|las|los|del|le|les|di|della|van|der|den|da|do|dos|św\.) |l['’]|d['’])*"
 _AFTER_HOUSE = re.compile(
     rf",? (?:(?-i:[A-Z])[\w'’]+ ){{1,3}}(?:{STREET_TAIL})\b|,? (?:bis,? )?(?:{STREET_HEAD}) {_PARTICLE}(?-i:[A-ZÀ-ÖØ-Ž])[\w'’]+(?:[ \-]{_PARTICLE}(?-i:[A-ZÀ-ÖØ-Ž])[\w'’]+){{0,3}}", re.I
@@ -71,6 +75,7 @@ _WROTE = "wrote|writes|schrieb|écrit|escribi|napisa|pisze|schreef"
 _HEADER = re.compile(rf"{_WROTE}|<[^>\n]*@|\b(?:From|Von|Od|Van)\b ?:|^\W*De ?:|\d:\d\d,? $")
 # names without capitals stand where mail programs print them
 _PRINTED = ("wrote", "schrieb", "écrit", "escribi", "napisa", "pisze", "schreef", "From: ", "Von: ", "De: ", "Od: ", "Van: ")
+_PRINTED_IN = re.compile("|".join(_PRINTED))
 _LOWER = re.compile(r"(?<![\w@./+\-])([a-zà-öø-ÿāăąćčďęěğłńňóőřśšşťůűźżž]{2,}) +([a-zà-öø-ÿāăąćčďęěğłńňóőřśšşťůűźżž]{4,})(?=[ \t]*(?:<|\n|:|,|$| (?:wrote|writes|schrieb|a écrit|escribi|napisa|pisze|schreef)))")
 
 _SHORT = short_form_table()
@@ -126,6 +131,66 @@ _BAR = re.compile(r"(?:^|\n|\|)[ \t>|»]*(?:[A-Za-z]{1,6}\.?:? ?)?$")
 _GAP = re.compile(r"\s+(?:(?:[>|»]|[^\W\d_]{1,3}>)\s*)*")
 
 
+_STOP = re.compile(r"[\d\n]")
+_DOT_WORD_END = re.compile(_DOT_WORD + "$", re.I)
+#: A dot in words has ten characters at most.
+_DOT_WORD_SIZE = 10
+
+
+class _Lines:
+    """Where the lines of a text and the runs without digits begin, for rules that look back; each text is walked once."""
+
+    def __init__(self, flat: str):
+        self.flat, self.stops, self.line, self.header = flat, None, (0, -1), False
+
+    def since_digit(self, at: int) -> int:
+        """The place after the last digit or line end before ``at``."""
+        if self.stops is None:
+            self.stops = [m.end() for m in _STOP.finditer(self.flat)]
+        k = bisect.bisect_right(self.stops, at)
+        return self.stops[k - 1] if k else 0
+
+    def in_header(self, at: int) -> bool:
+        """Whether a mail program printed the line: the head of a quoted or forwarded mail."""
+        lo, hi = self.line
+        if not lo <= at <= hi:
+            lo, hi = self.flat.rfind("\n", 0, at) + 1, self.flat.find("\n", at)
+            hi = len(self.flat) if hi < 0 else hi
+            self.line, self.header = (lo, hi), _HEADER.search(self.flat, lo, hi) is not None
+        return self.header
+
+
+def _word_before(flat: str, at: int) -> tuple[int, bool]:
+    """``(start, comma)`` of the word that ends in blanks, or a comma and blanks, at ``at``; start is -1 if there is none."""
+    i = at
+    while i and flat[i - 1] in " \t":
+        i -= 1
+    if i == at:
+        return -1, False
+    comma = i > 0 and flat[i - 1] == ","
+    end = i - comma
+    j = end
+    while j and (flat[j - 1].isalpha() or flat[j - 1] in "'’-"):
+        j -= 1
+    while j < end and not flat[j].isalpha():
+        j += 1
+    return (j, comma) if j < end else (-1, comma)
+
+
+def _spelled_start(flat: str, at: int) -> int:
+    """Where the local part of an address in words begins that ends before ``at``: words joined by dots in words."""
+    i = at
+    while i and flat[i - 1] in " \t":
+        i -= 1
+    while True:
+        while i and (flat[i - 1].isalnum() or flat[i - 1] in "_.+-"):
+            i -= 1
+        m = _DOT_WORD_END.search(flat, max(0, i - _DOT_WORD_SIZE), i)
+        if not m or m.start() == 0 or not (flat[m.start() - 1].isalnum() or flat[m.start() - 1] in "_.+-"):
+            return i
+        i = m.start()
+
+
 def _shape(s: str) -> str:
     return "".join("9" if c.isdigit() else "A" if c.isalpha() and c.isupper() else c for c in s)
 
@@ -133,6 +198,7 @@ def _shape(s: str) -> str:
 def candidates(text: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[int, ...]]]:
     """``(start, end, type, votes)``: spans with the votes of the labelers of their type: 1 for, 0 none, -1 against."""
     flat = flatten(text)
+    lines = _Lines(flat)
     taken = []
     at = flat.find("@")
     while at >= 0:
@@ -147,20 +213,18 @@ def candidates(text: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[
         at = flat.find("@", m.end() if m else at + 1)
     last = -1
     low = flat.lower()
-    spelled = " @" in low or "@ " in low or "(at" in low or "[at" in low or "{at" in low or (" at " in low and (" dot " in low or "[dot]" in low)) or any(w in low for w in ("arroba", "małpa", "arobase", "chiocciola", "(ät", "[ät", "(@)", "[@]"))
     # a separator can only be where one of these is
-    for hint in _HINT.finditer(flat) if spelled else ():
+    for hint in _HINT.finditer(flat) if any(w in low for w in _HINT_PARTS) else ():
         if hint.start() < last:
             continue
-        from_ = max(0, flat.rfind("\n", 0, hint.start()) + 1, hint.start() - 90)
-        for m in _SPELLED.finditer(flat, from_, min(len(flat), hint.end() + 90)):
-            if m.start() < last or any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            words = re.search(r"[\[({]|\s(?:dot|punkt|punto|point|kropka|punt)\s", m.group(0), re.I) is not None
-            local = m.group(1)
-            yield m.start(), m.end(), "email", (0, 1, 1 if m.group(2)[-2:].isalpha() else -1, 1 if words or "@" in m.group(0) else -1 if local.isalpha() and len(local) < 6 else 0)
-            taken.append((m.start(), m.end()))
-            last = m.end()
+        m = _SPELLED.match(flat, _spelled_start(flat, hint.start()))
+        if not m or m.start() < last or any(a < m.end() and m.start() < b for a, b in taken):
+            continue
+        words = re.search(r"[\[({]|\s(?:dot|punkt|punto|point|kropka|punt)\s", m.group(0), re.I) is not None
+        local = m.group(1)
+        yield m.start(), m.end(), "email", (0, 1, 1 if m.group(2)[-2:].isalpha() else -1, 1 if words or "@" in m.group(0) else -1 if local.isalpha() and len(local) < 6 else 0)
+        taken.append((m.start(), m.end()))
+        last = m.end()
     streets = []
     heads = any(x in low for x in _HEAD_STARTS)
     for h in _HOUSE.finditer(flat):
@@ -170,8 +234,7 @@ def candidates(text: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[
         m = _AFTER_HOUSE.match(flat, b)
         start, end = (a, m.end()) if m else (-1, -1)
         if not m:
-            slice_ = flat[max(0, a - 60) : a]
-            slice_ = slice_[slice_.rfind("\n") + 1 :]
+            slice_ = flat[lines.since_digit(a) : a]
             word = slice_.rstrip(" ,")
             word = word[word.rfind(" ") + 1 :].lower()
             if not slice_.endswith(" ") or not (word.endswith(_WORD_ENDS) or heads):
@@ -180,7 +243,7 @@ def candidates(text: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[
             if not m:
                 continue
             start, end = a - len(slice_) + m.start(), b
-        before = flat[max(0, start - 40) : start]
+        before = flat[flat.rfind("\n", 0, start) + 1 : start] if start < 200 else flat[max(flat.rfind("\n", 0, start), lines.since_digit(start) - 1) + 1 : start]
         yield start, end, "street_address", (1, 1 if _LINE_START.search(before) or _ADDRESS_WORD.search(before) else 0, 1, -1 if _RECORD_WORD.search(before) else 0)
         streets.append((start, end))
     for m in _NUMBER.finditer(flat):
@@ -191,32 +254,33 @@ def candidates(text: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[
             whole = _shape(_GAP.sub(" ", short))
             if _PHONE_SHAPE.match("0" + whole[1:] if short[:1] == "0" else whole) or _PHONE_SHAPE.match(whole) or _ID_SHAPE.match(whole):
                 s = short
-        digits = sum(c.isdigit() for c in s)
+        digits = sum(map(str.isdigit, s))
         if digits < 6:
             continue
         if any(a < m.end() and m.start() < b for a, b in taken) or any(a < m.start() + 1 and m.start() < b for a, b in streets):
             continue
         start = m.start()
-        before = flat[max(0, start - 60) : start]
+        before = flat[lines.since_digit(start) : start]
         squeezed = _GAP.sub(" ", s)
         shape = _shape(squeezed)
         id_shape = _ID_SHAPE.match(shape) is not None
         phone_shape = _PHONE_SHAPE.match("0" + shape[1:] if squeezed[0] == "0" else shape) is not None or _PHONE_SHAPE.match(shape) is not None
         lead = squeezed[0] in "+(0" or _DOTTED.match(squeezed) is not None
         sure_phone = phone_shape and lead and not id_shape
-        id_word = not sure_phone and _ID_WORD.search(before[-45:]) is not None
+        id_word = not sure_phone and _ID_WORD.search(before) is not None
         if id_shape or (id_word and digits >= 6):
-            record = not id_word and _RECORD_WORD.search(before[-20:]) is not None
+            record = not id_word and _RECORD_WORD.search(before) is not None
             yield start, start + len(s), "id_number", (1 if id_shape else 0, 1 if id_word else -1, -1 if record else 0, -1 if phone_shape and not id_word else 0)
         phone_word = not sure_phone and not id_word and _PHONE_WORD.search(before) is not None
         if phone_shape or (phone_word and digits >= 7 and not id_word):
-            date = _DATE.match(squeezed) is not None
-            bar = sure_phone or _BAR.search(before[-14:]) is not None
-            yield start, start + len(s), "phone", (1 if phone_shape else -1, 1 if phone_word or bar else 0, -1 if id_word or date else 0, 1 if lead else -1)
-    yield from _names(flat, subject)
+            if _DATE.match(squeezed):
+                continue
+            bar = sure_phone or _BAR.search(flat[flat.rfind('\n', 0, start) + 1 : start] if start == 0 or flat[start - 1] != '\n' else '') is not None
+            yield start, start + len(s), "phone", (1 if phone_shape else -1, 1 if phone_word or bar else 0, -1 if id_word else 0, 1 if lead else -1)
+    yield from _names(flat, subject, lines)
 
 
-def _names(flat: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[int, ...]]]:
+def _names(flat: str, subject: bool, lines: _Lines) -> Iterator[tuple[int, int, str, tuple[int, ...]]]:
     used, known, size = -1, _KIND, len(flat)
     for m in _CAP.finditer(flat):
         a, b = m.span()
@@ -226,21 +290,23 @@ def _names(flat: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[int,
         if b - a == 1:
             # an initial before a family name
             n = _NEXT_INITIAL.match(flat, b)
-            p = _PREVIOUS.search(flat, max(0, a - 40), a) if b < size and flat[b] == "." and flat[a - 2 : a - 1] == "," else None
+            p = None
+            if b < size and flat[b] == "." and flat[a - 2 : a - 1] == "," and (at := _word_before(flat, a)[0]) >= 0:
+                p = _PREVIOUS.match(flat, at, a)
             if p and fold(p.group(1)) not in NOT_SURNAME and _given(p.group(1)) < 2:
                 start = p.start(1)
                 if start >= used:
-                    v = (0, 1, 1 if _quote_line(flat, start, b) or start and flat[start - 1] == " " else 0, 0)
+                    v = (0, 1, 1 if lines.in_header(start) or start and flat[start - 1] == " " else 0, 0)
                     yield start, b + 1, "name", v
                     used = b + 1
                 continue
             if not n or (a > 1 and flat[a - 1] == "."):
                 continue
             s = n.group(1)
-            given_before = a > 1 and flat[a - 1] == " " and _given(flat[:a].rstrip()[-14:].rpartition(" ")[2]) == 2
+            given_before = a > 1 and flat[a - 1] == " " and (at := _word_before(flat, a)[0]) >= 0 and _given(flat[at:a].rstrip(" ,\t")) == 2
             if fold(s) in NOT_SURNAME or given_before:
                 continue
-            yield a, n.end(1), "name", (1, 1, 1 if _quote_line(flat, a, n.end(1)) else 0, 0)
+            yield a, n.end(1), "name", (1, 1, 1 if lines.in_header(a) else 0, 0)
             used = n.end(1)
             continue
         g = known.get(w)
@@ -249,19 +315,21 @@ def _names(flat: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[int,
         if not g or (b < size and flat[b] in "@_" or b + 1 < size and flat[b] == "." and flat[b + 1].isalnum()):
             continue
         n = _NEXT.match(flat, b)
-        p = _PREVIOUS.search(flat, max(0, a - 40), a) if a > 3 and flat[a - 1] in " \t" and (flat[a - 2] == "," or flat[a - 2].isupper() or flat[a - 2] in " \t") else None
+        p = None
+        if a > 3 and flat[a - 1] in " \t" and (flat[a - 2] == "," or flat[a - 2].isupper() or flat[a - 2] in " \t") and (at := _word_before(flat, a)[0]) >= 0:
+            p = _PREVIOUS.match(flat, at, a)
         best = None
         if n:
             s = n.group(1)
             ok = len(s) >= 3 and fold(s) not in NOT_SURNAME and (_given(s) < 2 or s.isupper())
             trade = not ok or (m2 := _NEXT.match(flat, n.end(1))) is not None and fold(m2.group(1)) in TRADES and g == 1
             if ok:
-                best = (a, n.end(1), (1 if g == 2 else -1, 1, 1 if g < 2 and _quote_line(flat, a, n.end(1)) else 0, -1 if trade else 0))
+                best = (a, n.end(1), (1 if g == 2 else -1, 1, 1 if g < 2 and lines.in_header(a) else 0, -1 if trade else 0))
         if p and p.start(1) >= used:
             s, comma = p.group(1), p.group(2)[0] == ","
             ok = fold(s) not in NOT_SURNAME and _given(s) < 2 and fold(s) not in CLOSING_WORDS
             start = p.start(1)
-            line = _quote_line(flat, start, b)
+            line = lines.in_header(start)
             opens = start == 0 or flat[start - 1] == "\n" or _LINE_START.search(flat, max(0, start - 12), start) is not None or flat[max(0, start - 2) : start] in (". ", "? ", "! ")
             if ok and (comma or s.isupper()) and (line or s.isupper() or not opens):
                 v = (1 if g == 2 else -1, 1, 1, 0 if line or not comma or not subject else 0)
@@ -272,27 +340,14 @@ def _names(flat: str, subject: bool) -> Iterator[tuple[int, int, str, tuple[int,
         yield best[0], best[1], "name", best[2]
         if sum(best[2]) > 0:
             used = best[1]
-    seen = -1
-    for key in _PRINTED:
-        at = flat.find(key)
-        while at >= 0:
-            lo, hi = max(flat.rfind("\n", 0, at) + 1, at - 110), flat.find("\n", at)
-            hi = min(size if hi < 0 else hi, at + 60)
-            for m in _LOWER.finditer(flat, lo, hi):
-                x, y = m.group(1), m.group(2)
-                gx, gy = _given(x), _given(y)
-                if (gx == 2 or gy == 2 or gx == 1) and m.start() != seen and fold(y) not in NOT_SURNAME and fold(x) not in NOT_SURNAME:
-                    seen = m.start()
-                    yield m.start(), m.end(), "name", (1 if max(gx, gy) == 2 else 0, 1, 1, 0 if max(gx, gy) == 2 else -1)
-            at = flat.find(key, at + len(key))
-
-
-def _quote_line(flat: str, a: int, b: int) -> bool:
-    """Whether mail programs printed the line: the head of a quoted or forwarded mail."""
-    lo = max(flat.rfind("\n", 0, a) + 1, a - 40)
-    hi = flat.find("\n", b)
-    hi = min(size if hi < 0 else hi, b + 130) if (size := len(flat)) else 0
-    return _HEADER.search(flat, lo, hi) is not None
+    starts = () if not any(x in flat for x in _PRINTED) else sorted({flat.rfind("\n", 0, m.start()) + 1 for m in _PRINTED_IN.finditer(flat)})
+    for lo in starts:
+        hi = flat.find("\n", lo)
+        for m in _LOWER.finditer(flat, lo, size if hi < 0 else hi):
+            x, y = m.group(1), m.group(2)
+            gx, gy = _given(x), _given(y)
+            if (gx == 2 or gy == 2 or gx == 1) and fold(y) not in NOT_SURNAME and fold(x) not in NOT_SURNAME:
+                yield m.start(), m.end(), "name", (1 if max(gx, gy) == 2 else 0, 1, 1, 0 if max(gx, gy) == 2 else -1)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -305,75 +360,132 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def aggregate(patterns: Counter, rounds: int = 30) -> dict:
-    """EM over vote patterns ``(type, votes) -> count``: the reliability of each labeler and the posterior of each pattern.
+def reliabilities(patterns: Counter, rounds: int = 50) -> tuple[dict, dict]:
+    """``(reliability, posterior)`` by EM over vote patterns ``(type, votes) -> count``.
 
-    The model of a type: a candidate is real with some prior; each labeler votes by its own table of
-    probabilities given real or not, started from the sum of votes. Then a logistic span classifier is fitted on
-    the votes and their sum, weighted by the posteriors; its probabilities are returned by pattern.
+    The model of a type: a candidate is as likely real as not, and a labeler that doesn't abstain is right with its own
+    probability, the same for real and false candidates, and no worse than chance. All labelers start equal; expectation
+    weighs every vote by the log odds of its labeler, maximisation counts how often each agrees with the result (with a prior
+    of 4 right and 1 wrong). A labeler that votes for everything, as a shape may, so ends without weight.
+    ``reliability[type]`` is one probability a labeler; ``posterior[(type, votes)]`` that of the candidate being real.
     """
-    table = {}
+    reliability, posterior = {}, {}
     for t in TYPES:
         rows = [(v, n) for (k, v), n in patterns.items() if k == t]
         if not rows:
             continue
-        votes = np.array([v for v, _ in rows]) + 1
-        n = np.array([c for _, c in rows], dtype=float)
-        total = (votes - 1).sum(1)
-        q = 1 / (1 + np.exp(-3.0 * (total - 0.5)))
+        votes, n = np.array([v for v, _ in rows], dtype=float), np.array([c for _, c in rows], dtype=float)
+        right = np.full(votes.shape[1], 0.8)
         for _ in range(rounds):
-            prior = ((q * n).sum() + 1) / (n.sum() + 2)
-            real, fake = np.ones((votes.shape[1], 3)), np.ones((votes.shape[1], 3))
-            for k in range(votes.shape[1]):
-                real[k] += np.bincount(votes[:, k], q * n, 3)
-                fake[k] += np.bincount(votes[:, k], (1 - q) * n, 3)
-            real /= real.sum(1, keepdims=True)
-            fake /= fake.sum(1, keepdims=True)
-            score = np.log(prior) - np.log(1 - prior) + sum(np.log(real[k][votes[:, k]]) - np.log(fake[k][votes[:, k]]) for k in range(votes.shape[1]))
-            # anchored: a pattern keeps the side of its votes' sum unless the others speak clearly against it
-            q = 1 / (1 + np.exp(-np.clip(0.5 * score + 3.0 * (total - 0.5), -30, 30)))
-        x = np.concatenate([np.eye(3)[votes].reshape(len(votes), -1), total[:, None], np.ones((len(votes), 1))], axis=1)
-        w = np.zeros(x.shape[1])
-        weight = np.sqrt(n)
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-            w += np.linalg.solve(h, x.T @ (weight * (q - p)) - 0.05 * w)
-        table[t] = w
-    return table
-
-
-def probability(model: dict, kind: str, votes: tuple[int, ...]) -> float:
-    w = model.get(kind)
-    if w is None:
-        return float(sum(votes) > 0)
-    x = np.concatenate([np.eye(3)[np.array(votes) + 1].reshape(-1), [sum(votes), 1.0]])
-    return float(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
-
-
-def _pattern_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = 1 / (1 + np.exp(-np.clip(votes @ np.log(right / (1 - right)), -30, 30)))
+            agrees = ((votes > 0) * q[:, None] + (votes < 0) * (1 - q)[:, None]) * n[:, None]
+            right = np.clip((agrees.sum(0) + 4) / (((votes != 0) * n[:, None]).sum(0) + 5), 0.5, 0.995)
+        reliability[t] = right
+        posterior |= {(t, v): float(p) for (v, _), p in zip(rows, q)}
+    return reliability, posterior
+
+
+#: Places of the span classifier's hashed features, and how many results a worker keeps for reuse.
+SLOTS, KEPT = 1 << 14, 200_000
+_SIGNS = "@.-/+(),"
+
+
+def _char_class(c: str) -> str:
+    return "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+
+
+def span_key(text: str, a: int, e: int, kind: str, votes: tuple[int, ...]) -> tuple:
+    """What the classifier sees of a candidate: type, votes, size, ends, blanks and signs of the span, and the word and signs around it."""
+    span = text[a:e]
+    i = a
+    while i and text[i - 1] in " \t:.#([\"'":
+        i -= 1
+    j = i
+    while j and text[j - 1].isalpha():
+        j -= 1
+    before, after = text[a - 1 : a], text[e : e + 1]
+    signs = "".join([x for x in _SIGNS if x in span])
+    return kind, votes, min(40, e - a) >> 2, _char_class(span[0]), _char_class(span[-1]), span.count(" "), signs, text[j:i].lower(), before, after
+
+
+def span_features(key: tuple) -> tuple[int, ...]:
+    """The hashed features of a ``span_key``."""
+    kind, votes, *rest = key
+    parts = [f"{n} {x}" for n, x in enumerate(rest)] + [f"vote {n} {v}" for n, v in enumerate(votes)]
+    return tuple(zlib.crc32(f"{kind} {x}".encode()) % SLOTS for x in parts)
+
+
+def fit_spans(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+    """Logistic weights of the slots, by batch gradient steps, from ``(features, posterior, count)``; slot ``SLOTS`` is the bias."""
+    w = np.zeros(SLOTS + 1)
+    if not rows:
+        return w
+    x = np.array([(*f, SLOTS) for f, _, _ in rows])
+    y, n = np.array([p for _, p, _ in rows]), np.array([c for _, _, c in rows], dtype=float)
+    n /= n.sum()
+    seen = np.zeros_like(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
+        g = np.bincount(x.ravel(), np.repeat(n * (p - y), x.shape[1]), SLOTS + 1) + l2 * w
+        seen += g * g
+        w -= rate * g / np.sqrt(seen + 1e-12)
+    return w
+
+
+def _candidate_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: Counter = Counter()
     for b in batches:
         for subject, body in zip(b["subject"], b["body_text"]):
             for text, s in ((subject, True), (body, False)):
                 if text:
-                    seen.update((t, v) for _, _, t, v in candidates(text, s))
-    yield pd.DataFrame([(t, list(v), c) for (t, v), c in seen.items()], columns=["kind", "votes", "n"])
+                    seen.update(span_key(text, a, e, t, v) for a, e, t, v in candidates(text, s))
+    yield pd.DataFrame([(k[0], list(k[1]), list(span_features(k)), c) for k, c in seen.items()], columns=["kind", "votes", "features", "n"])
+
+
+def train(emails: DataFrame, mails: int = 4000) -> np.ndarray:
+    """The weights of the span classifier, from the candidates of about ``mails`` rows chosen by a hash of their id.
+
+    The labelers' votes in the sample give their reliabilities and each candidate's posterior (``reliabilities``); the
+    classifier is fitted on the posteriors. Rows are chosen in their place, so no text moves; what reaches the driver is
+    the sample's candidates as numbers.
+    """
+    share = min(1.0, mails / max(1, emails.count()))
+    limit = int(share * (1 << 30))
+    sample = emails.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), "pos"), F.lit(1 << 30)) < limit) if share < 1 else emails
+    found = sample.select("subject", "body_text").mapInPandas(_candidate_batches, "kind string, votes array<int>, features array<int>, n bigint").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()
+    patterns: Counter = Counter()
+    for r in found:
+        patterns[(r.kind, tuple(r.votes))] += r.n
+    _, posterior = reliabilities(patterns)
+    return fit_spans([(tuple(r.features), posterior[(r.kind, tuple(r.votes))], r.n) for r in sorted(found)])
+
+
+def probability(weights: np.ndarray, features: tuple[int, ...]) -> float:
+    return float(1 / (1 + np.exp(-max(-30.0, min(30.0, weights[list(features)].sum() + weights[SLOTS])))))
+
 
+def _judge(weights: np.ndarray):
+    """The probability of a candidate, kept by its features."""
+    known: dict = {}
 
-def train(emails: DataFrame, mails: int = 4000) -> dict:
-    """The span classifier, from the votes in the ``mails`` rows with the smallest hash of their id."""
-    sample = emails.select("id", "pos", "subject", "body_text").orderBy(F.xxhash64("id"), "pos").limit(mails)
-    rows = sample.mapInPandas(_pattern_batches, "kind string, votes array<int>, n bigint").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()  # at most 3^4 patterns a type
-    return aggregate(Counter({(r.kind, tuple(r.votes)): r.n for r in rows}))
+    def of(text: str, a: int, e: int, kind: str, votes: tuple[int, ...]) -> float:
+        key = span_key(text, a, e, kind, votes)
+        p = known.get(key)
+        if p is None:
+            if len(known) >= KEPT:
+                known.clear()
+            p = known[key] = probability(weights, span_features(key))
+        return p
+
+    return of
 
 
 def spans(emails: DataFrame, train_mails: int = 4000) -> DataFrame:
     """``pos, id, field, start_pos, end_pos, pii_type, score`` of each occurrence in ``subject`` and ``body_text``.
 
     Labelers - patterns, word lists and context rules - vote on candidate spans. Expectation-maximisation over the
-    vote patterns of a bounded sample estimates how far each labeler is right; a logistic span classifier trained on
-    the posteriors scores every candidate of every text. Where spans of the same type overlap, the first stays.
+    votes in a sample of about ``train_mails`` mails estimates how far each labeler is right; a logistic span classifier on the
+    span's shape, its surroundings and the votes, trained on the posteriors, scores every candidate of every text. Where spans of the same type overlap, the first stays.
 
     Positions count Unicode code points from 1; ``end_pos`` is the position after the last. Wrapped and quoted
     lines are read as one, positions unchanged. Null and empty texts have no spans; texts are read whole, however
@@ -382,7 +494,7 @@ def spans(emails: DataFrame, train_mails: int = 4000) -> DataFrame:
     model = train(emails, train_mails)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        judge = _judge(model)
         for b in batches:
             out = []
             for pos, i, subject, body in zip(b["pos"], b["id"], b["subject"], b["body_text"]):
@@ -391,9 +503,7 @@ def spans(emails: DataFrame, train_mails: int = 4000) -> DataFrame:
                         continue
                     end_of = dict.fromkeys(TYPES, -1)
                     for a, e, t, v in candidates(text, field == "subject"):
-                        p = known.get((t, v))
-                        if p is None:
-                            p = known[(t, v)] = probability(model, t, v)
+                        p = judge(text, a, e, t, v)
                         if p >= 0.5 and a >= end_of[t]:
                             end_of[t] = e
                             out.append((pos, i, field, a + 1, e + 1, t, p))
@@ -412,12 +522,14 @@ def masked_texts(emails: DataFrame, train_mails: int = 4000) -> DataFrame:
     """``pos, id, subject, body_text`` with typed placeholders in place of what ``spans`` finds; null stays null."""
     model = train(emails, train_mails)
 
-    def mask(text: str | None, subject: bool) -> str | None:
-        if not text:
-            return text
-        return masked(text, [(a, e, t) for a, e, t, v in candidates(text, subject) if probability(model, t, v) >= 0.5])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = _judge(model)
+
+        def mask(text: str | None, subject: bool) -> str | None:
+            if not text:
+                return text
+            return masked(text, [(a, e, t) for a, e, t, v in candidates(text, subject) if judge(text, a, e, t, v) >= 0.5])
+
         for b in batches:
             yield b.assign(subject=[mask(x, True) for x in b["subject"]], body_text=[mask(x, False) for x in b["body_text"]])
 
