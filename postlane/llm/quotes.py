@@ -63,7 +63,8 @@ FEATURES = (
     "depth marked_run marked_alone after_intro intro header inline_quote rule closing since_closing sign_mark contact device notice warning footer frequency overlap words ps salutation name_line from_end after_footer start_of_parent company after_sign"
 ).split()
 _AT = {f: i for i, f in enumerate(FEATURES)}
-SURE, N = len(FEATURES), len(FEATURES) + 1
+#: Beside the features, for the evidence that labels the sample: whether the line stands in the parent word for word.
+IN_PARENT, N = len(FEATURES), len(FEATURES) + 1
 
 
 def _shingles(text: str) -> set:
@@ -88,9 +89,10 @@ def _bin(v: float) -> int:
 
 
 def line_features(body: str, sender: str | None, name: str | None, parent: str | None, frequent: set, hashes) -> tuple[list[int], np.ndarray]:
-    """``(line numbers, features)`` of the lines that aren't blank; the last column is a label of 0 (new), 1 or 2 (unsure).
+    """``(line numbers, features)`` of the lines that aren't blank, by the block they lie in; the last column is ``IN_PARENT``.
 
-    The label follows from the marks that mail programs leave; it only serves to train the trees.
+    A block is a run of lines up to a blank line, a change of quote marks, an introduction of a quote or a header. Contact
+    density, overlap with the parent and quote depth are the block's, the rest tells the marks of the line and above it.
     """
     raw = body.split("\n")
     lines = [x.rstrip("\r") for x in raw]
@@ -100,9 +102,10 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
     out = [bytearray(N) for _ in range(n)]
     mark = [None if b or not (">" in x or "|" in x or "»" in x) else _MARK.match(x) for x, b in zip(lines, blank)]
     depth = [0 if m is None else max(1, m.group(0).count(">") + m.group(0).count("|") + m.group(0).count("»")) for m in mark]
-    sh = None
+    sh, parent_lines = None, set()
     if parent:
         sh = _shingles(parent)
+        parent_lines = {t for t in (_MARK.sub("", x).strip() for x in parent.split("\n")) if t.count(" ") >= 3}
         first = next((_WORD.findall(_MARK.sub("", x))[:6] for x in parent.split("\n") if _VISIBLE.search(x)), [])
 
     def overlap(words: list[str]) -> float:
@@ -115,7 +118,6 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
     own |= {w for w in re.split(r"[^a-z]+", fold((sender or "").partition("@")[0])) if w}
     full = set().union(*[_SHORT.get(w, set()) for w in own]) if own else set()
     # paragraphs: runs of lines that aren't blank, split where the quote depth begins or ends
-    label = [None] * n
     signed = quoted = footed = False
     since = 0
     i = 0
@@ -139,7 +141,7 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             for k in range(i, j):
                 out[k][0], out[k][1] = min(7, depth[k] or 1), min(7, run)
                 out[k][2], out[k][3] = own_line, intro_before
-                label[k] = 0 if own_line and not signed else 1
+                out[k][18] = min(7, lines[k].count(" "))
             intro_before = False
             i = j
             continue
@@ -160,7 +162,6 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
                 for q in range(i, end):
                     if not blank[q]:
                         out[q][5] = 1
-                        label[q] = 1
                 i = end
                 while end < n and blank[end]:
                     end += 1
@@ -184,7 +185,6 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
                 k, rest = found
                 for q in range(i, k + 1):
                     out[q][4] = 1
-                    label[q] = 1
                 i = k + 1
                 while k + 1 < n and blank[k + 1]:
                     k += 1
@@ -212,7 +212,7 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
                     lap = max(lap, whole)
         if quoted:
             for k in range(i, j):
-                out[k][6], out[k][17], out[k][24], label[k] = 1, _bin(lap), begins, 1
+                out[k][6], out[k][17], out[k][24] = 1, _bin(lap), begins
             i = j
             continue
         near_end = last_text - i <= 8
@@ -254,7 +254,6 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             f[22] = min(7, last_text - k)
             f[24] = begins
             if ps:
-                label[k] = 0
                 continue
             if f[7] and (k == i or k == j - 1 or signed):
                 signed = True
@@ -263,47 +262,101 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             if foot:
                 footed = signed = True
             if warn and not signed:
-                label[k] = 1
                 f[14] = 2
                 continue
             if k > i and f[14] == 0 and j - i <= 3 and not signed and all(out[q][14] for q in range(i, k)):
                 f[14] = 3  # the wrapped rest of a warning
-                label[k] = 1
                 continue
             f[9] = min(7, since)
             if f[12]:
-                label[k] = 1
                 continue
             f[23] = footed
             f[26] = signed
-            if signed:
-                since += 1
-                label[k] = 1
-            elif f[13]:
-                label[k] = 1  # a notice that the sender repeats, without a closing before it
-            elif f[21] and k >= last_text - 1 and nw <= 3:
-                label[k] = 2
-            elif f[16] and (f[25] or contact > 0):
-                label[k] = 2
-            else:
-                label[k] = 0
+            since += signed
         i = j
     keep = [k for k in range(n) if not blank[k]]
-    for k in keep:
-        out[k][SURE] = 2 if label[k] is None else label[k]
+    for k in keep if parent_lines else ():
+        out[k][IN_PARENT] = _MARK.sub("", lines[k]).strip() in parent_lines
     return [k + 1 for k in keep], np.frombuffer(b"".join(out[k] for k in keep), dtype=np.uint8).reshape(-1, N)
 
 
-FEATURE_SCHEMA = "id string, lines array<int>, features binary"
+FEATURE_SCHEMA = "sender string, hashes array<bigint>, features binary"
 
 
 def _frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for i, body, sender, name, parent, frequent, hashes in zip(*[b[c] for c in ("id", "body", "sender", "name", "parent", "frequent", "hashes")]):
-            no, x = line_features(body, sender, name, parent, set() if frequent is None else set(frequent), hashes)
-            rows.append((i, no, x.tobytes()))
-        yield pd.DataFrame(rows, columns=["id", "lines", "features"])
+        for body, sender, name, parent, frequent, hashes in zip(*[b[c] for c in ("body", "sender", "name", "parent", "frequent", "hashes")]):
+            if frequent is None:  # whether a line repeats can't be told
+                continue
+            no, x = line_features(body, sender, name, parent, set(frequent), hashes)
+            rows.append((sender, [hashes[k - 1] for k in no], x.tobytes()))
+        yield pd.DataFrame(rows, columns=["sender", "hashes", "features"])
+
+
+#: A line that so many senders of the sample use isn't anybody's own; own text has so many words a line; a line that stands
+#: below the last own line in such a share of its mails belongs to their ends.
+SHARED_SENDERS, OWN_WORDS, AT_END = 2, 5, 0.9
+
+
+def places(x: np.ndarray, hashes, used_by: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(own, repeats, zone)`` of a mail's lines, from where else they stand.
+
+    ``own``: neither the parent, nor the sender's other mails, nor ``SHARED_SENDERS`` senders have the line, and it has ``OWN_WORDS``
+    words. ``repeats``: the sender's mails or so many senders have it. ``zone``: 0 above the first own line, 1 among them, 2 below the
+    last one; -1 in a mail without own lines.
+    """
+    frequent = x[:, _AT["frequency"]] > 0
+    taken = x[:, IN_PARENT] > 0
+    shared = np.array([used_by.get(h, 0) >= SHARED_SENDERS for h in hashes], dtype=bool)
+    unmarked = (x[:, _AT["depth"]] == 0) | (x[:, _AT["marked_run"]] == 1)  # one line alone may just begin with a quote sign
+    own = (x[:, _AT["words"]] >= OWN_WORDS) & ~taken & ~frequent & ~shared & unmarked & (x[:, _AT["overlap"]] < 3)
+    at, place = np.flatnonzero(own), np.arange(len(x))
+    zone = np.full(len(x), -1) if not len(at) else np.where(place < at[0], 0, np.where(place <= at[-1], 1, 2))
+    return own, (frequent | shared) & ~taken & (x[:, _AT["depth"]] == 0), zone
+
+
+def labelled(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """``(features, label)`` of the lines with evidence, of ``(sender, hashes, features)`` rows.
+
+    The labels come from where else a line stands, not from marks or word lists: a line of the parent, word for word, is taken over;
+    an own line is new; a line that repeats is not new if it stands below the last own line in ``AT_END`` of its mails, and new if it
+    stands among own lines. Above the first own line there are salutations and warnings, which occur alike; there alone the words of
+    a warning decide. All other lines have no evidence and are left out.
+
+    Each line comes twice, the second time without the two features that the evidence is close to (frequency and
+    overlap), so that the trees also learn what else tells such lines.
+    """
+    senders: dict[int, set] = {}
+    for sender, hashes, _ in rows:
+        for h in hashes:
+            senders.setdefault(h, set()).add(sender)
+    used_by = {h: len(v) for h, v in senders.items()}
+    seen: dict[int, list] = {}
+    parts = []
+    for _, hashes, f in rows:
+        x = np.frombuffer(f, dtype=np.uint8).reshape(-1, N)
+        own, repeats, zone = places(x, hashes, used_by)
+        parts.append((x, hashes, own, repeats, zone))
+        for k in np.flatnonzero(repeats & (zone >= 0)):
+            at = seen.setdefault(hashes[k], [0, 0])
+            at[0] += 1
+            at[1] += zone[k] == 2
+    xs, ys = [np.zeros((0, N), np.uint8)], [np.zeros(0, int)]
+    for x, hashes, own, repeats, zone in parts:
+        ends = np.array([(c := seen.get(h, (0, 0)))[0] > 1 and c[1] >= AT_END * c[0] for h in hashes], dtype=bool)
+        y = np.full(len(x), 2)
+        y[repeats & (zone == 2) & ends] = 1
+        y[repeats & (zone == 1)] = 0
+        y[repeats & (zone == 0)] = (x[:, _AT["warning"]] > 0)[repeats & (zone == 0)]
+        y[x[:, IN_PARENT] > 0] = 1
+        y[own] = 0
+        xs.append(x[y < 2])
+        ys.append(y[y < 2])
+    x, y = np.concatenate(xs)[:, :IN_PARENT], np.concatenate(ys)
+    hidden = x.copy()
+    hidden[:, [_AT["frequency"], _AT["overlap"]]] = 0
+    return np.concatenate([x, hidden]), np.concatenate([y, y])
 
 
 def _trimmed(line):
@@ -360,20 +413,20 @@ def frequent_lines(emails: DataFrame, mails: DataFrame, share: float = 0.05) ->
 
 
 def train(rows: DataFrame, trees: int = 40, depth: int = 5) -> dict:
-    """Trees fitted on the surely labelled lines of a bounded sample of mails."""
+    """Trees fitted on the lines with evidence in a bounded sample of mails."""
     got = rows.mapInPandas(_frame, FEATURE_SCHEMA).toPandas()
-    x = np.concatenate([np.frombuffer(f, dtype=np.uint8).reshape(-1, N) for f in got.features] or [np.zeros((0, N), np.uint8)])
-    x = x[x[:, SURE] < 2]
-    return boosting.fit(x[:, :SURE], x[:, SURE], trees, depth)
+    x, y = labelled(list(zip(got.sender, got.hashes, got.features)))
+    return boosting.fit(x, y, trees, depth)
 
 
 def not_new_lines(emails: DataFrame, train_mails: int = 3000) -> DataFrame:
     """``id, line_no, score``: every line that isn't blank with the probability that its sender did not newly write it.
 
     Bodies are cut into blocks at blank lines and where quote marks, introductions of quotes or warnings begin and
-    end. Trees, boosted on a bounded sample of lines whose marks tell their kind, judge the lines by the quote depth and
+    end. Trees judge the lines by the quote depth and
     the contact density of their block, how often the sender uses the line, how much of the block stands in the
-    likeliest parent (shares of five-word shingles) and the marks around it.
+    parent (shares of five-word shingles) and the marks around it. They are boosted on the lines of ``train_mails`` mails, labelled by
+    ``labelled``: where else in the conversation and the sample a line stands.
 
     Mails count once per id; null and blank bodies, and mails without id, give no rows. Lines are split at line
     feeds and counted from 1; a line of white space or invisible characters only is blank. An empty table gives no rows.
@@ -398,7 +451,7 @@ def not_new_lines(emails: DataFrame, train_mails: int = 3000) -> DataFrame:
                     nos += no
                     xs.append(x)
                 x = np.concatenate(xs) if xs else np.zeros((0, N), np.uint8)
-                yield pd.DataFrame({"id": ids, "line_no": np.array(nos, dtype=np.int64), "score": boosting.predict(model, x[:, :SURE])})
+                yield pd.DataFrame({"id": ids, "line_no": np.array(nos, dtype=np.int64), "score": boosting.predict(model, x[:, :IN_PARENT])})
 
     return context(emails, mails, links, frequent).mapInPandas(judge, "id string, line_no bigint, score double")
 

@@ -35,5 +35,44 @@ def test_a_long_notice_that_the_sender_repeats(spark):
     notice = "This message is confidential and meant for the addressee only; please delete it if it reached you by mistake."
     rows = [(n, f"m{n}", "ann@x.com", "Ann", f"{text}\n\n{notice}", f"t{n}", None, None, None) for n, text in enumerate(["The tables are ready.", "Shall we meet on Friday?", "Here is the list."])]
     got = _features(spark, rows)["m1"]
-    assert (got[3][quotes._AT["frequency"]], got[3][quotes._AT["notice"]], got[3][quotes.SURE]) == (1, 2, 1)
-    assert (got[1][quotes._AT["frequency"]], got[1][quotes.SURE]) == (0, 0)
+    assert (got[3][quotes._AT["frequency"]], got[3][quotes._AT["notice"]]) == (1, 2)
+    assert got[1][quotes._AT["frequency"]] == 0
+
+
+def _lines(*rows):
+    import numpy as np
+
+    x = np.zeros((len(rows), quotes.N), dtype=np.uint8)
+    for k, row in enumerate(rows):
+        for name, v in row.items():
+            x[k, quotes.IN_PARENT if name == "parent" else quotes._AT[name]] = v
+    return x.tobytes()
+
+
+def test_labels_come_from_where_else_a_line_stands():
+    # hashes: 1 and 2 own lines, 7 stands below them in both mails, 8 once among them, 9 in the parent; no mark is set anywhere
+    one = ("ann", [1, 8, 1001, 7], _lines({"words": 7}, {"words": 7, "frequency": 1}, {"words": 7}, {"words": 2, "frequency": 1}))
+    two = ("bob", [2, 7, 9], _lines({"words": 7}, {"words": 2, "frequency": 1}, {"words": 7, "parent": 1}))
+    x, y = quotes.labelled([one, two])
+    half = len(y) // 2
+    assert y[:half].tolist() == [0, 0, 0, 1, 0, 1, 1]
+    assert x[half:, quotes._AT["frequency"]].sum() == 0 and x[:half, quotes._AT["frequency"]].sum() == 3
+
+
+def test_the_trees_follow_the_evidence_not_the_marks():
+    from postlane.llm import boosting
+
+    # a closing that stands among own lines everywhere is no closing here
+    rows = [(f"s{n}", [100 + n, 5, 200 + n], _lines({"words": 7}, {"words": 2, "closing": 1, "frequency": 1}, {"words": 7})) for n in range(30)]
+    x, y = quotes.labelled(rows)
+    model = boosting.fit(x, y, 10, 3)
+    assert boosting.predict(model, x[1:2])[0] < 0.5
+
+
+def test_nulls_empty_and_repeated_mails(spark):
+    body = "We moved the twelve oak tables to the other hall.\n\nBest regards,\nAnn"
+    rows = [(n, f"m{n}", "ann@x.com", "Ann", body.replace("twelve", str(n)), None, None, None, None) for n in range(12)]
+    rows += [(20, "m0", "ann@x.com", "Ann", body.replace("twelve", "0"), None, None, None, None), (21, "z", None, None, None, None, None, None, None), (22, None, "b@x", "B", body, None, None, None, None), (23, "y", "b@x", "B", " \n\t", None, None, None, None)]
+    got = sorted(tuple(r) for r in quotes.found_lines(spark.createDataFrame(rows, ROW)).collect())
+    assert got == sorted((f"m{n}", k) for n in range(12) for k in (3, 4))
+    assert quotes.found_lines(spark.createDataFrame([], ROW)).count() == 0
