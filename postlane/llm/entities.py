@@ -169,7 +169,7 @@ def entities(emails: DataFrame) -> DataFrame:
         votes = rows.where("fulls is not null").select("entity", F.explode("fulls").alias("full"), "w", F.size("fulls").alias("k")).groupBy("entity", "full").agg(F.sum("w").alias("w"), F.min("k").alias("k"))
         top = votes.groupBy("entity").agg(F.max("w").alias("top"))
         fulls = votes.join(top, "entity").where("w >= top").groupBy("entity").agg(F.array_sort(F.collect_set("full")).alias("fulls"))  # bounded by the short-form table and ties
-        names_of = rows.groupBy("entity", "surname").agg(F.max("confirmed").alias("confirmed"), F.sum("w").alias("w"), F.min("initial").alias("initial"))
+        names_of = rows.groupBy("entity", "surname").agg(F.max("confirmed").alias("confirmed"), F.sum("w").alias("w"), F.array_sort(F.collect_set("initial")).alias("initials"))  # letters
         profile = cut(names_of.join(fulls, "entity", "left"))
         sure = profile.where("size(fulls) = 1").withColumn("full", F.get("fulls", F.lit(0)))
         # block: surname and full given name
@@ -179,14 +179,16 @@ def entities(emails: DataFrame) -> DataFrame:
         keyed = spelled.withColumn("cut", F.explode(_cuts(F.col("surname"))))
         best = keyed.groupBy("cut", "full").agg(F.max_by("surname", F.struct("confirmed", "w", "surname")).alias("to"))
         typo = keyed.where("not confirmed").join(best, ["cut", "full"]).where("surname != to").where(_is_typo(F.col("surname"), F.col("to"))).select(F.concat(F.lit("#"), "surname", F.lit("|"), "full").alias("a"), F.concat(F.lit("#"), "to", F.lit("|"), "full").alias("b"))
-        # no full given name: the only full name that fits
-        given = sure.groupBy("surname").agg(F.collect_set("full").alias("all"))  # the given names of one surname, in the short-form sense
-        loose = profile.where("fulls is null or size(fulls) > 1").join(given, "surname", "left")
-        fits = F.filter("all", lambda g: F.when(F.size("fulls") > 1, F.array_contains("fulls", g)).otherwise(g.startswith(F.coalesce("initial", F.lit("?")))))
-        loose = loose.withColumn("fit", fits)
-        joined = loose.where("size(fit) = 1").select(F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|"), F.get("fit", F.lit(0))).alias("b"))
-        alone = loose.where("(fit is null or size(fit) = 0) and (initial is not null or fulls is not null)").select(
-            F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|?"), F.coalesce(F.array_join("fulls", ","), "initial")).alias("b")
+        # no full given name: the only full name of the surname that fits one of the short form's names, or one of the initials
+        known = sure.select("surname", "full").distinct()
+        by_initial = known.groupBy("surname", F.substring("full", 1, 1).alias("initial")).agg(F.min("full").alias("least"), F.max("full").alias("most"))
+        loose = profile.where("fulls is null or size(fulls) > 1").select("entity", "surname", "fulls", "initials")
+        by_short = loose.where("size(fulls) > 1").select("entity", "surname", F.explode("fulls").alias("full")).join(known, ["surname", "full"]).select("entity", "surname", F.col("full").alias("least"), F.col("full").alias("most"))
+        by_letter = loose.where("fulls is null").select("entity", "surname", F.explode("initials").alias("initial")).join(by_initial, ["surname", "initial"]).select("entity", "surname", "least", "most")
+        fit = by_short.unionByName(by_letter).groupBy("entity", "surname").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        joined = fit.where("least = most").select(F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|"), "least").alias("b"))
+        alone = loose.join(fit.select("entity", "surname"), ["entity", "surname"], "left_anti").where("size(initials) > 0 or fulls is not null").select(
+            F.col("entity").alias("a"), F.concat(F.lit("#"), "surname", F.lit("|?"), F.coalesce(F.array_join("fulls", ","), F.array_join("initials", ""))).alias("b")
         )
         comp = connected_components(exact.unionByName(typo).unionByName(joined).unionByName(alone))
         named = comp.where("node not like '#%'").select(F.col("node").alias("entity"), "component")
@@ -213,7 +215,19 @@ def entities(emails: DataFrame) -> DataFrame:
     return org_entity.select("entity", "address", "kind").unionByName(entity.select("entity", "address", F.lit("person").alias("kind")))
 
 
+#: An entity is split into parts of about so many addresses, so that a large organisation's pairs are made by many tasks.
+PART = 500
+
+
 def found_pairs(emails: DataFrame) -> DataFrame:
-    """``email_a, email_b``: each pair of different addresses of one entity, the smaller first."""
+    """``email_a, email_b``: each pair of different addresses of one entity, the smaller first.
+
+    Pairs grow with the square of an entity; ``entities`` is the same result as membership. The first addresses of an entity are
+    spread over its parts, and the second ones are copied to each.
+    """
     e = cut(entities(emails).select("entity", "address").distinct())
-    return e.select("entity", F.col("address").alias("email_a")).join(e.select("entity", F.col("address").alias("email_b")), "entity").where("email_a < email_b").select("email_a", "email_b")
+    sizes = e.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity", (F.floor(F.col("n") / PART) + 1).alias("parts"))
+    sized = e.join(sizes, "entity")
+    a = sized.select("entity", F.col("address").alias("email_a"), F.pmod(F.xxhash64("address"), F.col("parts")).alias("part"))
+    b = sized.select("entity", F.col("address").alias("email_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["entity", "part"]).where("email_a < email_b").select("email_a", "email_b")

@@ -4,44 +4,53 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Two-letter codes with the three-letter codes and names that labels use for them.
-LANGUAGES = {
-    "en": "eng english anglais englisch inglés", "de": "deu ger german deutsch allemand", "fr": "fra fre french français französisch", "es": "spa spanish español castellano spanisch",
-    "it": "ita italian italiano italienisch", "pt": "por portuguese português portugiesisch", "nl": "nld dut dutch nederlands niederländisch flemish", "pl": "pol polish polski polnisch",
-    "ru": "rus russian русский russisch", "sv": "swe swedish svenska schwedisch", "da": "dan danish dansk dänisch", "tr": "tur turkish türkçe türkisch", "no": "nor nob nno nb nn norwegian norsk",
-    "fi": "fin finnish suomi", "cs": "ces cze czech čeština", "sk": "slk slo slovak slovenčina", "hu": "hun hungarian magyar", "ro": "ron rum romanian română", "bg": "bul bulgarian български",
-    "uk": "ukr ukrainian українська", "el": "ell gre greek ελληνικά", "hr": "hrv croatian hrvatski", "sl": "slv slovenian slovenščina", "sr": "srp serbian српски", "lt": "lit lithuanian lietuvių",
-    "lv": "lav latvian latviešu", "et": "est estonian eesti", "ca": "cat catalan català", "eu": "eus baq basque euskara", "gl": "glg galician galego", "ar": "ara arabic العربية", "he": "heb hebrew עברית",
-    "fa": "fas per persian farsi", "hi": "hin hindi हिन्दी", "ja": "jpn japanese 日本語", "zh": "zho chi chinese 中文", "ko": "kor korean 한국어", "vi": "vie vietnamese", "id": "ind indonesian", "th": "tha thai",
+from postlane.session import cut
+
+# Three-letter codes of libraries and names that labels use beside those that the JVM's locales know.
+OTHER_NOTATIONS = {
+    "de": "ger", "fr": "fre", "nl": "dut flemish", "cs": "cze", "sk": "slo", "ro": "rum", "el": "gre", "eu": "baq", "fa": "per farsi", "zh": "chi", "hy": "arm", "is": "ice", "mk": "mac", "ms": "may",
+    "my": "bur", "cy": "wel", "sq": "alb", "ka": "geo", "mi": "mao", "bo": "tib", "es": "castellano castilian", "no": "nob nno nb nn", "he": "iw", "id": "in", "yi": "ji",
 }
-_CODES = {x: code for code, names in LANGUAGES.items() for x in [code, *names.split()]}
+#: Locales whose names of languages are read.
+NAMING = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "da", "ru", "tr")
+
+
+def language_table(spark: SparkSession) -> dict[str, str]:
+    """Lower-case notation to two-letter code: codes of two and three letters and names, in ``NAMING`` and in the language itself."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    into = [locale.forLanguageTag(x) for x in NAMING]
+    out: dict[str, str] = {}
+    renamed = {"iw": "he", "in": "id", "ji": "yi", "nb": "no", "nn": "no"}
+    for raw in locale.getISOLanguages():
+        own = locale.forLanguageTag(raw)
+        code = renamed.get(raw, raw)
+        for name in [raw, code, own.getISO3Language(), *[own.getDisplayLanguage(x) for x in (*into, own)]]:
+            if name:
+                out.setdefault(name.lower(), code)
+    for code, names in OTHER_NOTATIONS.items():
+        out |= dict.fromkeys(names.split(), code)
+    return out
+
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SKIP = re.compile(r"https?://\S+|<[^>]*>|\S*@\S+|\S*\d\S*|\S*[=/\\{}\[\]|#+_]\S*|\S{24,}")
+# codes, addresses, markup, and words that change between small and capital letters again and again, as encoded data does
+_SKIP = re.compile(r"https?://\S+|<[^>]*>|\S*@\S+|\S*\d\S*|\S*[=/\\{}\[\]|#+_]\S*|[^\W\d_]*[a-z][A-Z]+[a-z]+[A-Z][^\W\d_]*")
 
 
-def label_code(label: str | None) -> str | None:
+def label_code(label: str | None, table: dict[str, str]) -> str | None:
     """The two-letter code that a label means, in whatever notation; null if it names no language."""
     if label is None:
         return None
     t = label.strip().lower()
-    return _CODES.get(t) or _CODES.get(re.split(r"[-_ ]", t)[0])
-
-
-def _usual(c):
-    """A label's code as a column: the same reading as ``label_code``."""
-    table = F.create_map(*[x for k, v in _CODES.items() for x in (F.lit(k), F.lit(v))])
-    t = F.lower(F.trim(c))
-    return F.coalesce(F.try_element_at(table, t), F.try_element_at(table, F.split(t, "[-_ ]")[0]))
+    return table.get(t) or table.get(re.split(r"[-_ (.]", t)[0])
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
@@ -63,78 +72,111 @@ def units(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def grams(words: str) -> list[str]:
-    s = f" {words} "
-    return [s[i : i + 3] for i in range(len(s) - 2)] if words else []
+def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, starts)``: the three-letter n-grams of texts as numbers of 63 bits, and where each text's begin.
+
+    Each text stands between blanks; one without letters has none, so its start is that of the next.
+    """
+    sizes = np.array([len(w) + 2 if w else 0 for w in words], dtype=np.int64)
+    text = "".join([f" {w} " for w in words if w])
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    codes = c[:-2] | c[1:-1] << 21 | c[2:] << 42
+    ends = np.cumsum(sizes[sizes > 0])
+    keep = np.ones(len(codes), dtype=bool)
+    for back in (1, 2):  # n-grams that would reach into the next text
+        at = ends[:-1] - back
+        keep[at] = False
+    starts = np.concatenate([[0], np.cumsum(np.maximum(sizes - 2, 0))])[:-1]
+    return codes[keep], starts
+
+
+#: Unseen n-grams whose products a worker keeps; further ones are computed anew each time, with the same result.
+KEPT = 400_000
 
 
 class Profiles:
     """Hyperdimensional profiles: a letter is a random vector of signs; an n-gram binds its letters, permuted by their
-    place; a language bundles its n-grams. The cosine of a text with a prototype is the sum of its n-grams' cosines,
-    which are kept."""
+    place; a language bundles its n-grams. A text's bundle is never built: its product with a prototype is the sum of its n-grams'
+    products, and its length follows from the counts, as different n-grams' vectors are orthogonal but for chance."""
 
-    def __init__(self, counts: dict[str, Counter], dim: int = 4096, seed: int = 7):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], dim: int = 4096, seed: int = 7):
         self.dim, self.seed = dim, seed
         self.languages = sorted(counts)
-        self.letters: dict[str, np.ndarray] = {}
-        seen = sorted({g for c in counts.values() for g in c})
-        index = {g: i for i, g in enumerate(seen)}
-        weight = np.zeros((len(self.languages), len(seen)), dtype=np.float32)
+        self.letters: dict[int, np.ndarray] = {}
+        self.codes = np.unique(np.concatenate([c for c, _ in counts.values()] or [np.zeros(0, np.int64)]))
+        weight = np.zeros((len(self.languages), len(self.codes)), dtype=np.float32)
         for k, lang in enumerate(self.languages):
-            total = sum(counts[lang].values()) or 1
-            for g, n in counts[lang].items():
-                weight[k, index[g]] = np.log1p(1e5 * n / total)
-        weight -= weight.mean(0, keepdims=True)
+            codes, n = counts[lang]
+            weight[k, np.searchsorted(self.codes, codes)] = np.log1p(1e5 * n / max(1, n.sum()))
+        if len(weight):
+            weight -= weight.mean(0, keepdims=True)
         proto = np.zeros((len(self.languages), dim), dtype=np.float32)
-        for at in range(0, len(seen), 2000):
-            block = np.stack([self.bind(g) for g in seen[at : at + 2000]]).astype(np.float32)
-            proto += weight[:, at : at + 2000] @ block
+        for at in range(0, len(self.codes), 2000):
+            proto += weight[:, at : at + 2000] @ self.bind(self.codes[at : at + 2000])
         norm = np.linalg.norm(proto, axis=1, keepdims=True)
         self.proto = proto / np.where(norm == 0, 1, norm)
-        self.known = index
-        self.rows = np.zeros((len(seen) + 1024, len(self.languages)), dtype=np.float32)
-        for at in range(0, len(seen), 2000):
-            block = np.stack([self.bind(g) for g in seen[at : at + 2000]]).astype(np.float32) / np.sqrt(dim)
-            self.rows[at : at + 2000][: len(block)] = block @ self.proto.T
+        self.rows = self.products(self.codes)
 
-    def letter(self, c: str) -> np.ndarray:
+    def letter(self, c: int) -> np.ndarray:
         v = self.letters.get(c)
         if v is None:
-            v = self.letters[c] = np.random.default_rng([self.seed, ord(c)]).choice(np.array([-1, 1], dtype=np.int8), self.dim)
-        return v
-
-    def bind(self, gram: str) -> np.ndarray:
-        v = np.ones(self.dim, dtype=np.int8)
-        for k, c in enumerate(gram):
-            v = v * np.roll(self.letter(c), k)
+            v = self.letters[c] = np.random.default_rng([self.seed, c]).choice(np.array([-1, 1], dtype=np.int8), self.dim)
         return v
 
-    def scores(self, words: str) -> tuple[np.ndarray, int]:
-        """The summed cosines with the prototypes, and the number of n-grams."""
-        places = []
-        for g in grams(words):
-            i = self.known.get(g)
-            if i is None:
-                if len(self.known) > 400_000:
-                    continue
-                i = self.known[g] = len(self.known)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[i] = (self.bind(g).astype(np.float32) / np.sqrt(self.dim)) @ self.proto.T
-            places.append(i)
-        return self.rows[places].sum(0) if places else np.zeros(len(self.languages), dtype=np.float32), len(places)
-
-
-def segments(text: str, profiles: Profiles, switch: float, scale: float) -> list[tuple[int, int, str, float]]:
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        out = np.ones((len(codes), self.dim), dtype=np.int8)
+        for place in range(3):
+            c = codes >> (21 * place) & ((1 << 21) - 1)
+            letters, back = np.unique(c, return_inverse=True)
+            out *= np.stack([np.roll(self.letter(int(x)), place) for x in letters])[back] if len(letters) else out
+        return out.astype(np.float32)
+
+    def products(self, codes: np.ndarray) -> np.ndarray:
+        """The cosines of single n-grams with the prototypes."""
+        parts = [self.bind(codes[at : at + 2000]) @ self.proto.T for at in range(0, len(codes), 2000)]
+        return np.concatenate(parts or [np.zeros((0, len(self.languages)), np.float32)]) / np.float32(np.sqrt(self.dim))
+
+    def lookup(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        new = codes[self.codes[at] != codes] if len(self.codes) else codes
+        if not len(new):
+            return self.rows[at]
+        products = self.products(new)
+        if len(self.codes) + len(new) <= KEPT:
+            order = np.argsort(every := np.concatenate([self.codes, new]))
+            self.codes, self.rows = every[order], np.concatenate([self.rows, products])[order]
+            return self.rows[np.searchsorted(self.codes, codes)]
+        out = np.zeros((len(codes), len(self.languages)), dtype=np.float32)
+        seen = self.codes[at] == codes
+        out[seen], out[~seen] = self.rows[at[seen]], products
+        return out
+
+    def cosines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(cosine, length)`` of texts: with each prototype, and the length of the bundle in n-grams."""
+        codes, starts = gram_codes(words)
+        kinds, back = np.unique(codes, return_inverse=True)
+        sums, lengths = np.zeros((len(words), len(self.languages)), dtype=np.float32), np.zeros(len(words))
+        has = np.array([bool(w) for w in words], dtype=bool)
+        if len(codes):
+            sums[has] = np.add.reduceat(self.lookup(kinds)[back], starts[has], axis=0)
+            owner = np.repeat(np.flatnonzero(has), np.diff(np.append(starts[has], len(codes))))
+            pairs, times = np.unique(owner * len(kinds) + back, return_counts=True)
+            lengths = np.sqrt(np.bincount(pairs // len(kinds), times.astype(float) ** 2, len(words)))
+        return sums / np.maximum(lengths, 1)[:, None], lengths
+
+
+def segments(found: list[tuple[int, int, str]], cosine: np.ndarray, length: np.ndarray, languages: list[str], switch: float) -> list[tuple[int, int, str, float]]:
     """``(start, end, lang, confidence)``: the longest runs of sentences in one language.
 
-    The likeliest sequence of languages over the sentences, where a change costs ``switch``; sentences without words belong to
-    the run around them.
+    The likeliest sequence of languages over the sentences: a sentence counts with its cosines times its length, a change costs ``switch``. Sentences without words
+    belong to the run around them. ``confidence`` is the share of the language in the exponentiated cosines of the run.
     """
-    rows = [(a, b, *profiles.scores(w)) for a, b, w in units(text) if w]
-    if not rows:
+    at = [k for k, u in enumerate(found) if u[2]]
+    if not at or not languages:
         return []
-    e = scale * np.stack([s for _, _, s, _ in rows])
+    e = cosine[at] * length[at][:, None]
     best, back = e[0].copy(), []
     for x in e[1:]:
         top = int(best.argmax())
@@ -150,80 +192,129 @@ def segments(text: str, profiles: Profiles, switch: float, scale: float) -> list
         j = k
         while j < len(path) and path[j] == path[k]:
             j += 1
-        s = e[k:j].sum(0)
-        n = sum(r[3] for r in rows[k:j])
-        p = np.exp(120.0 * (s - s.max()) / max(20.0, n))
-        out.append((rows[k][0], rows[j - 1][1], profiles.languages[path[k]], float(p[path[k]] / p.sum())))
+        run = e[k:j].sum(0) / np.sqrt((length[at[k:j]] ** 2).sum())
+        p = np.exp(12.0 * (run - run.max()))
+        out.append((found[at[k]][0], found[at[j - 1]][1], languages[path[k]], float(p[path[k]] / p.sum())))
         k = j
     return out
 
 
-def _count_batches(profiles: Profiles | None):
+#: Texts that are judged together, by their number and by their characters.
+TEXTS, CHARS = 256, 1_000_000
+
+
+def _judged(texts: Iterator[tuple], profiles: Profiles, switch: float) -> Iterator[tuple]:
+    """``(row, sentences, segments)`` of ``(row, text)``, several texts at once; a text is never cut."""
+
+    def flush(part):
+        cosine, length = profiles.cosines([u[2] for _, found in part for u in found])
+        at = 0
+        for row, found in part:
+            end = at + len(found)
+            yield row, found, segments(found, cosine[at:end], length[at:end], profiles.languages, switch)
+            at = end
+
+    part, chars = [], 0
+    for row, text in texts:
+        part.append((row, units(text)))
+        chars += len(text)
+        if len(part) >= TEXTS or chars >= CHARS:
+            yield from flush(part)
+            part, chars = [], 0
+    if part:
+        yield from flush(part)
+
+
+def _count_batches(profiles: Profiles | None, switch: float = 0.5):
+    """Counts of n-grams by language: the label's, or the one that ``profiles`` finds for a segment; then also how often a label agrees."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, Counter] = {}
+        words: dict[str, list] = {}
+        agree: dict[tuple, int] = {}
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                for _, _, w in units(text):
-                    if not w:
-                        continue
-                    at = lang
-                    if profiles is not None:
-                        s, n = profiles.scores(w)
-                        if n < 12:
-                            continue
-                        at = profiles.languages[int(s.argmax())]
-                    seen.setdefault(at, Counter()).update(grams(w))
-        yield pd.DataFrame([(k, g, n) for k, c in seen.items() for g, n in c.items()], columns=["lang", "gram", "n"])
+            if profiles is None:
+                for lang, text in zip(b["lang"], b["text"]):
+                    words.setdefault(lang, []).extend(w for _, _, w in units(text) if w)
+                continue
+            for lang, found, runs in _judged(zip(b["lang"], b["text"]), profiles, switch):
+                size: dict[str, int] = {}
+                for a, e, at, _ in runs:
+                    own = [w for x, y, w in found if w and x >= a and y <= e]
+                    words.setdefault(at, []).extend(own)
+                    size[at] = size.get(at, 0) + sum(map(len, own))
+                if size:
+                    key = (lang, max(sorted(size), key=size.get))
+                    agree[key] = agree.get(key, 0) + 1
+        out = []
+        for lang, w in words.items():
+            codes, n = np.unique(gram_codes(w)[0], return_counts=True)
+            out.append(pd.DataFrame({"lang": lang, "judged": None, "gram": codes, "n": n}))
+        out.append(pd.DataFrame([(a, j, -1, n) for (a, j), n in agree.items()], columns=["lang", "judged", "gram", "n"]))
+        yield pd.concat(out)
 
     return run
 
 
-def train(documents: DataFrame, per_label: int = 400, least: int = 5, dim: int = 4096, grams_kept: int = 6000) -> Profiles:
+#: A label is a language's name if so many of the texts under it are judged to be in it.
+CONFIRMED = 0.2
+
+
+def train(documents: DataFrame, per_label: int = 400, least: int = 5, dim: int = 4096) -> Profiles:
     """Prototypes from the labels as delivered, on about ``per_label`` documents a label, chosen by hash.
 
-    Labels are read in any notation; the first prototypes judge the sample's sentences, and the sentences' own
-    languages make the second ones, which takes wrong labels and mixed texts out. Languages with fewer than
-    ``least`` labels, or than a five-hundredth of the labelled documents, have no prototype. The counts that reach the
-    driver are at most ``grams_kept`` n-grams a language.
+    Labels are read in any notation. The first prototypes, one for each label on ``least`` documents (fewer in tables of
+    under ``20 * least``), find the segments of the sample, and the segments' n-grams make the second ones, which takes wrong
+    labels and mixed texts out. A label that under ``CONFIRMED`` of its own texts are judged to be in - its texts are in
+    other languages - has no second prototype. What reaches the driver are the n-gram counts of the sample.
     """
-    labelled = documents.where("text is not null").select("doc_id", "text", _usual(F.col("lang")).alias("lang")).where("lang is not null")
+    spark = documents.sparkSession
+    table = language_table(spark)
+    known = F.broadcast(spark.createDataFrame(sorted(table.items()), "name string, code string"))  # as many as the locales have
+    t = F.lower(F.trim("lang"))
+    labels = documents.select("lang").where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    first_word = F.split(t, r"[-_ (.]")[0]
+    codes = labels.join(known.withColumnsRenamed({"name": "n1", "code": "c1"}), t == F.col("n1"), "left").join(known.withColumnsRenamed({"name": "n2", "code": "c2"}), first_word == F.col("n2"), "left")
+    codes = codes.select("lang", F.coalesce("c1", "c2").alias("code")).where("code is not null")
+    labelled = documents.where("text is not null").select("doc_id", "text", "lang").join(codes, "lang").select("doc_id", "text", F.col("code").alias("lang"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a language
-    whole = sum(sizes.values())
-    kept = {k: n for k, n in sizes.items() if n >= max(min(least, whole // 20), whole / 500)} or sizes
+    kept = {k: n for k, n in sizes.items() if n >= min(least, sum(sizes.values()) // 20)}
     if not kept:
-        return Profiles({"en": Counter()}, dim)
+        return Profiles({}, dim)
     share = F.create_map(*[x for k, n in kept.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
     sample = labelled.where(F.col("lang").isin(list(kept))).where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    sample = cut(sample)
 
-    def collect(profiles: Profiles | None) -> dict[str, Counter]:
-        counted = sample.mapInPandas(_count_batches(profiles), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        top = counted.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, grams_kept).alias("top"))  # a language has at most some ten thousand n-grams
-        return {r.lang: Counter({x.gram: x.n for x in r.top}) for r in top.collect()}
+    def collect(profiles: Profiles | None) -> tuple[dict, dict]:
+        counted = sample.mapInPandas(_count_batches(profiles), "lang string, judged string, gram bigint, n bigint").groupBy("lang", "judged", "gram").agg(F.sum("n").alias("n")).toPandas()
+        grams = counted[counted.gram >= 0].sort_values(["lang", "gram"])
+        return {k: (g.gram.to_numpy(np.int64), g.n.to_numpy(np.int64)) for k, g in grams.groupby("lang")}, {(r.lang, r.judged): r.n for r in counted[counted.gram < 0].itertuples()}
 
-    first = Profiles(collect(None), dim)
-    second = collect(first)
-    return Profiles({k: second.get(k) or c for k, c in collect(None).items()} if set(second) != set(first.languages) else second, dim)
+    first, _ = collect(None)
+    second, judged = collect(Profiles(first, dim))
+    of = {k: sum(n for (a, _), n in judged.items() if a == k) for k in kept}
+    sure = [k for k in second if judged.get((k, k), 0) >= CONFIRMED * of.get(k, 0) > 0]
+    return Profiles({k: second[k] for k in sure or second}, dim)
 
 
-def detect(documents: DataFrame, switch: float = 0.5, scale: float = 1.0, per_label: int = 400) -> DataFrame:
+def detect(documents: DataFrame, switch: float = 0.5, per_label: int = 400) -> DataFrame:
     """``doc_id, seg_no, lang, confidence, start_pos, end_pos, label_code, n_languages`` of every segment.
 
     Texts are cut into sentences at line ends and after . ! ?; names, codes, addresses and markup are left out of
     the profile. Confidence is the share of the segment's language in the exponentiated cosines. Null and empty texts
-    and texts without words have no segments; long texts are read whole; repeated rows give repeated rows.
+    and texts without words have no segments; long texts are read whole; repeated rows give repeated rows. Without any
+    label that names a language there are no prototypes and no segments.
     ``start_pos`` counts code points from 1. Bind, bundle and cosine are those of ``Profiles``.
     """
+    table = language_table(documents.sparkSession)
     profiles = train(documents, per_label)
-    shared = documents.sparkSession.sparkContext.broadcast(profiles)  # languages x dimensions, and the kept n-grams
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
         for b in batches:
             out = []
-            for doc, text, label in zip(b["doc_id"], b["text"], b["lang"]):
-                got = segments(text, p, switch, scale)
+            for (doc, label), _, got in _judged((((d, x), t) for d, x, t in zip(b["doc_id"], b["lang"], b["text"])), profiles, switch):
                 many = len({x[2] for x in got})
-                out += [(doc, k, lang, c, a + 1, e + 1, label_code(label), many) for k, (a, e, lang, c) in enumerate(got, 1)]
+                code = label_code(label, table)
+                out += [(doc, k, lang, c, a + 1, e + 1, code, many) for k, (a, e, lang, c) in enumerate(got, 1)]
             yield pd.DataFrame(out, columns=["doc_id", "seg_no", "lang", "confidence", "start_pos", "end_pos", "label_code", "n_languages"])
 
     rows = documents.where("text is not null and text != ''").select("doc_id", "text", "lang")
