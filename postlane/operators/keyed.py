@@ -48,5 +48,17 @@ def key_fingerprint(rows: DataFrame, key: str = "id", buckets: int = 4096) -> Da
     return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "|"), 256), F.lit("")).alias("fingerprint"))
 
 
-def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def id_set_hash(rows: DataFrame, key: str = "id") -> str:
+    """SHA-256 of the distinct keys in order, joined by "|"; "" without keys.
+
+    The hash is one chain over all keys, so they stream through the driver range by range and no more than one range is held; ``key_fingerprint``
+    compares sets in parallel.
+    """
+    import hashlib
+
+    ordered = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).distinct().orderBy("k")
+    h, first = hashlib.sha256(), True
+    for r in ordered.toLocalIterator():
+        h.update(r.k.encode() if first else b"|" + r.k.encode())
+        first = False
+    return "" if first else h.hexdigest()
