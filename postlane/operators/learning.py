@@ -147,7 +147,7 @@ def embed(rows: DataFrame, text: str, provider: Callable, key: str = "id", size:
 def few_shot(training: DataFrame, features: int = 1 << 14, least: int = 8):
     """A logistic model over hashed words, and the categories with under ``least`` examples that it leaves out.
 
-    ``training`` has ``text`` and ``category``. Returns ``(model, skipped)``; ``model.transform`` adds ``predicted`` to rows with ``text``.
+    ``training`` has ``text`` and ``category``. Returns ``(model, skipped)``; ``model.transform`` adds ``predicted`` to rows with ``text``; the model is None if no category has enough.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -155,6 +155,8 @@ def few_shot(training: DataFrame, features: int = 1 << 14, least: int = 8):
 
     sizes = training.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     skipped = [r.category for r in sizes.where(F.col("n") < least).orderBy("category").collect()]  # categories, not examples
+    if sizes.where(F.col("n") >= least).isEmpty():
+        return None, skipped
     rows = training.join(sizes.where(F.col("n") >= least).select("category"), "category", "left_semi").select("category", F.coalesce("text", F.lit("")).alias("text"))
     labels = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     stages = [

@@ -254,9 +254,9 @@ LIFE = 720
     pow(2.0, -greatest(0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(decided_at)) / 86400000000) / {LIFE}.0) AS w FROM d),
     f AS (SELECT kind, CASE WHEN kind <> 'delete_low_confidence' THEN old END AS old, CASE WHEN kind IN ('rename', 'merge') THEN new END AS new, w, confidence FROM k WHERE kind IS NOT NULL AND NOT coalesce(kind IN ('rename', 'merge') AND (old IS NULL OR new IS NULL OR old = new), false)),
     g AS (SELECT kind, old, new, count(*) AS n, sum(w) AS weight, avg(confidence) AS mean FROM f GROUP BY 1, 2, 3)
-    SELECT kind, old, new, n, weight, least(0.5 + 0.2 * CASE WHEN weight / 2 > 1 THEN log2(weight / 2) ELSE 0 END, 0.99) AS confidence, CASE WHEN kind = 'delete_low_confidence' THEN round(mean + 0.05, 2) END AS threshold FROM g WHERE weight >= 2 - 1e-6""")
+    SELECT kind, old, new, n, weight, least(0.5 + 0.2 * CASE WHEN weight > 1 THEN log2(weight) ELSE 0 END, 0.99) AS confidence, CASE WHEN kind = 'delete_low_confidence' THEN round(mean + 0.05, 2) END AS threshold FROM g WHERE weight >= 1 - 1e-6""")
 def a21_decision_patterns(spark, d):
-    return learning.decision_patterns(decisions(spark, d), F.lit(AS_OF).cast("timestamp"), LIFE, 2.0)
+    return learning.decision_patterns(decisions(spark, d), F.lit(AS_OF).cast("timestamp"), LIFE, 1.0)
 
 
 @query(f"""{_DEC} SELECT category, sum(s) AS score FROM (SELECT CASE WHEN action = 'rename' THEN new ELSE old END AS category, CASE WHEN action IN ('accept', 'rename') THEN 1.0::DOUBLE WHEN action = 'delete' THEN -1.0 END AS s FROM d)
@@ -305,7 +305,8 @@ def m20_classify(spark, d):
 @query()
 def m22_few_shot(spark, d):
     model, _ = learning.few_shot(reports.training_set(mails(spark, d), table(spark, d, "corrections")))
-    return model.transform(mails(spark, d).select("id", F.concat_ws(" ", "subject", "body_text").alias("text"))).select("id", "predicted")
+    rows = mails(spark, d).select("id", F.concat_ws(" ", "subject", "body_text").alias("text"))
+    return model.transform(rows).select("id", "predicted") if model else rows.select("id", F.lit(None).cast("string").alias("predicted"))
 
 
 @query(f"""{_CL}, e AS (SELECT id FROM cl WHERE ingested_at < TIMESTAMP '{HALF}'), g AS (SELECT cluster, count(*) AS n, count(*) FILTER (id NOT IN (SELECT id FROM e)) AS n_new FROM cl GROUP BY 1) SELECT cluster, n, n_new FROM g WHERE n_new >= 10 AND n_new / n > 0.5""")
