@@ -59,6 +59,31 @@ _VISIBLE = re.compile(r"[^\s​-‏ - ⁠-⁤﻿­]")
 _LEGAL_END = tuple(f" {x}{dot}" for x in LEGAL_FORMS for dot in ("", "."))
 _SHORT = {k: set(v) for k, v in short_form_table().items()}
 
+
+class _Beginning(dict):
+    """Whether three characters can begin what ``expression`` matches, by its own rules of case, kept by the characters.
+
+    A cheap condition that must hold before the expression itself is tried. Each of its alternatives has to begin with two
+    or three letters (or spaces after the first), none of them optional, or with ``\\W*``; alternatives further inside only let more through.
+    """
+
+    def __init__(self, expression: str):
+        starts = sorted(set(re.findall(r"(?:\(\?:|\||^)(\w[\w ]{1,2})", expression)))
+        self.begins = re.compile("|".join(starts + [r"\W"] * (r"\W*" in expression)), re.I)
+
+    def __missing__(self, three: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[three] = self.begins.match(three) is not None
+        return got
+
+
+_MAY_CLOSE, _MAY_DEVICE, _MAY_WARN, _MAY_SALUTE = (_Beginning(x) for x in (CLOSINGS.replace("\n", "|"), DEVICE, WARNING, SALUTATION))
+_RULE_MARKS = frozenset("-_=*~#+.")
+_WROTE_WORDS = WROTE[3:-1].replace("\\", "").split("|")
+#: One of them stands in every line that ``WROTE`` finds anything in.
+_WROTE_PARTS = [w for w in _WROTE_WORDS if not any(v != w and v in w for v in _WROTE_WORDS)]
+
 FEATURES = (
     "depth marked_run marked_alone after_intro intro header inline_quote rule closing since_closing sign_mark contact device notice warning footer frequency overlap words ps salutation name_line from_end after_footer start_of_parent company after_sign"
 ).split()
@@ -67,9 +92,21 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 IN_PARENT, N = len(FEATURES), len(FEATURES) + 1
 
 
-def _shingles(text: str) -> set:
-    w = _WORD.findall("\n".join(_MARK.sub("", x) for x in text.split("\n")))
-    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+def _quotes(text: str) -> bool:
+    """Whether the text has a sign that ``_MARK`` needs."""
+    return ">" in text or "|" in text or "»" in text
+
+
+_ASCII_WORDS = "".join(c if c.isalnum() or c == "_" else " " for c in map(chr, range(128)))
+
+
+def _words(text: str) -> list[str]:
+    """What ``_WORD`` finds."""
+    return text.translate(_ASCII_WORDS).split() if text.isascii() else _WORD.findall(text)
+
+
+def _grams(w: list[str]) -> Iterator[tuple]:
+    return zip(w, w[1:], w[2:], w[3:], w[4:])
 
 
 _FOLDS: dict[str, str] = {}
@@ -84,45 +121,70 @@ def _folded(word: str) -> str:
     return got
 
 
+_OWN: dict[tuple, tuple[set, set]] = {}
+
+
+def _names(sender: str | None, name: str | None) -> tuple[set, set]:
+    """The folded words of a sender's name and address, and the given names they may be short for."""
+    got = _OWN.get((sender, name))
+    if got is None:
+        if len(_OWN) > 100_000:
+            _OWN.clear()
+        own = {_folded(w) for w in _words(name or "")}
+        own |= {w for w in re.split(r"[^a-z]+", fold((sender or "").partition("@")[0])) if w}
+        got = _OWN[sender, name] = own, set().union(*[_SHORT.get(w, ()) for w in own])
+    return got
+
+
 def _bin(v: float) -> int:
     return 0 if v <= 0 else min(7, 1 + int(v * 6.99))
 
 
-def line_features(body: str, sender: str | None, name: str | None, parent: str | None, frequent: set, hashes) -> tuple[list[int], np.ndarray]:
-    """``(line numbers, features)`` of the lines that aren't blank, by the block they lie in; the last column is ``IN_PARENT``.
+def line_features(body: str, sender: str | None, name: str | None, parent: str | None, frequent: set, hashes, evidence: bool = True) -> tuple[list[int], np.ndarray]:
+    """``(line numbers, features)`` of the lines that aren't blank, by the block they lie in; the last column is ``IN_PARENT``, without ``evidence`` 0.
 
     A block is a run of lines up to a blank line, a change of quote marks, an introduction of a quote or a header. Contact
     density, overlap with the parent and quote depth are the block's, the rest tells the marks of the line and above it.
     """
-    raw = body.split("\n")
-    lines = [x.rstrip("\r") for x in raw]
+    lines = body.split("\n")
+    if "\r" in body:
+        lines = [x.rstrip("\r") for x in lines]
     n = len(lines)
     text = [x.strip() for x in lines]
-    blank = [not x or (x[0] > "\xff" or x.isspace()) and not _VISIBLE.search(x) for x in text]
+    blank = [not x or x[0] > "\xff" and not _VISIBLE.search(x) for x in text]
     out = [bytearray(N) for _ in range(n)]
-    mark = [None if b or not (">" in x or "|" in x or "»" in x) else _MARK.match(x) for x, b in zip(lines, blank)]
-    depth = [0 if m is None else max(1, m.group(0).count(">") + m.group(0).count("|") + m.group(0).count("»")) for m in mark]
+    mark = [None if b or not _quotes(x) else _MARK.match(x) for x, b in zip(lines, blank)] if _quotes(body) else [None] * n
+    head = [":" in t and _HEAD.match(t) is not None for t in text]
+    sep = [(t[:2] == "--" or t[-1:] == ":") and _SEP.match(t) is not None for t in text]
+    # an introduction ends, four lines at most, in a word that stands for writing
+    wrote = [w for w in _WROTE_PARTS if w in body]
+    intro = {k - back for w in wrote for k, t in enumerate(text) if w in t for back in range(4)}
+    # their words count in lines without a mark only
+    plain = "\n".join([t for t, m in zip(text, mark) if m is None]).lower()
+    footers, notices = [w for w in FOOTER if w in plain], [w for w in NOTICE if w in plain]
     sh, parent_lines = None, set()
     if parent:
-        sh = _shingles(parent)
-        parent_lines = {t for t in (_MARK.sub("", x).strip() for x in parent.split("\n")) if t.count(" ") >= 3}
-        first = next((_WORD.findall(_MARK.sub("", x))[:6] for x in parent.split("\n") if _VISIBLE.search(x)), [])
+        above = parent.split("\n")
+        if _quotes(parent):
+            above = [_MARK.sub("", x) if _quotes(x) else x for x in above]
+        sh = set(_grams(_words("\n".join(above))))
+        if evidence:
+            parent_lines = {t for t in (x.strip() for x in above) if t.count(" ") >= 3}
+        first = next((_words(x)[:6] for x, y in zip(above, parent.split("\n")) if _VISIBLE.search(y)), [])
 
     def overlap(words: list[str]) -> float:
         if not sh or len(words) < 5:
             return 0.0
-        grams = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
-        return sum(g in sh for g in grams) / len(grams)
+        return sum(map(sh.__contains__, _grams(words))) / (len(words) - 4)
 
-    own = {_folded(w) for w in _WORD.findall(name or "")}
-    own |= {w for w in re.split(r"[^a-z]+", fold((sender or "").partition("@")[0])) if w}
-    full = set().union(*[_SHORT.get(w, set()) for w in own]) if own else set()
+    own, full = _names(sender, name)
     # paragraphs: runs of lines that aren't blank, split where the quote depth begins or ends
     signed = quoted = footed = False
     since = 0
     i = 0
     intro_before = False
-    last_text = max((k for k in range(n) if not blank[k]), default=-1)
+    keep = [k for k in range(n) if not blank[k]]
+    last_text = keep[-1] if keep else -1
     unmarked_rest = None
     while i < n:
         if blank[i]:
@@ -137,9 +199,10 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             own_line = False
             if run == 1 and prev and not intro_before and not quoted:
                 # a line of the sender's own that merely begins with a quote sign
-                own_line = overlap(_WORD.findall(_MARK.sub("", lines[i]))) < 0.5
+                own_line = overlap(_words(_MARK.sub("", lines[i]))) < 0.5
             for k in range(i, j):
-                out[k][0], out[k][1] = min(7, depth[k] or 1), min(7, run)
+                signs = mark[k].group(0)
+                out[k][0], out[k][1] = min(7, max(1, signs.count(">") + signs.count("|") + signs.count("»"))), min(7, run)
                 out[k][2], out[k][3] = own_line, intro_before
                 out[k][18] = min(7, lines[k].count(" "))
             intro_before = False
@@ -147,17 +210,17 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             continue
         t = text[i]
         # the lines that introduce a quote
-        sep = bool(_SEP.match(t)) or (_RULE.match(t) and i + 1 < n and _HEAD.match(text[i + 1]) is not None)
+        begun = sep[i] or (i + 1 < n and head[i + 1] and _RULE.match(t) is not None)
         heads = 0
-        if sep or _HEAD.match(t):
-            k = i + 1 if sep else i
+        if begun or head[i]:
+            k = i + 1 if begun else i
             while k < n and blank[k]:
                 k += 1
             h0 = k
-            while k < n and not blank[k] and not mark[k] and _HEAD.match(text[k]):
+            while k < n and not blank[k] and not mark[k] and head[k]:
                 heads += 1
                 k += 1
-            if heads >= 2 or (sep and heads >= 1) or (sep and not _RULE.match(t)):
+            if heads >= 2 or (begun and heads >= 1) or (begun and not _RULE.match(t)):
                 end = k if heads else i + 1
                 for q in range(i, end):
                     if not blank[q]:
@@ -169,7 +232,7 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
                 if end < n and not mark[end]:
                     quoted = True
                 continue
-        if _INTRO_START.match(t):
+        if i in intro and _INTRO_START.match(t):
             joined, found = t, None
             for extra in range(4):
                 k = i + extra
@@ -196,16 +259,16 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
         intro_before = False
         # a paragraph of unmarked lines, up to a blank line, a mark or an introduction
         j = i
-        while j < n and not blank[j] and not mark[j] and (j == i or not (_SEP.match(text[j]) or (_INTRO_START.match(text[j]) and _INTRO.match("\n".join(text[j : j + 3]))) or (_HEAD.match(text[j]) and j + 1 < n and _HEAD.match(text[j + 1])))):
+        while j < n and not blank[j] and not mark[j] and (j == i or not (sep[j] or (j in intro and _INTRO_START.match(text[j]) and _INTRO.match("\n".join(text[j : j + 3]))) or (head[j] and j + 1 < n and head[j + 1]))):
             j += 1
-        words = _WORD.findall("\n".join(lines[i:j]))
         lap = 0.0
         begins = False
         if sh and not quoted:
+            words = _words("\n".join(lines[i:j]))
             lap = overlap(words)
             begins = len(first) >= 2 and words[: len(first)] == first
             if lap > 0.5 or begins:
-                rest_words = [w for k in range(i, n) if not blank[k] and not mark[k] for w in _WORD.findall(lines[k])]
+                rest_words = [w for k in range(i, n) if not blank[k] and not mark[k] for w in _words(lines[k])]
                 whole = overlap(rest_words)
                 if whole >= 0.75 and (len(rest_words) >= 20 or begins) and len(rest_words) >= 5:
                     quoted = True
@@ -216,40 +279,42 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             i = j
             continue
         near_end = last_text - i <= 8
-        contact = sum("@" in x or _PHONE.search(x) is not None for x in text[i:j]) / (j - i) if signed or near_end else 0.0
+        contact = sum(["@" in x or _PHONE.search(x) is not None for x in text[i:j]]) / (j - i) if signed or near_end else 0.0
         ps = PS.match(t) is not None
         # the block of a firm at the end of its mail
         firm = near_end and not ps and j > last_text and len(text[i].split()) <= 6 and all(len(x.split()) <= 8 for x in text[i:j]) and (
-            text[i].lower().endswith(_LEGAL_END) or (j - i > 1 and bool(own & {_folded(w) for w in _WORD.findall(text[i])[:2]}) and any(c.isdigit() or c == "@" for x in text[i + 1 : j] for c in x))
+            text[i].lower().endswith(_LEGAL_END) or (j - i > 1 and bool(own & {_folded(w) for w in _words(text[i])[:2]}) and any(c.isdigit() or c == "@" for x in text[i + 1 : j] for c in x))
         )
         signed = signed or firm
+        contact, lap = _bin(contact), _bin(lap)
         for k in range(i, j):
             x = text[k]
             nw = x.count(" ") + 1
             f = out[k]
-            low = x.lower()
-            f[7] = not x[0].isalnum() and _RULE.match(x) is not None
-            close = None if ps or nw > 9 else _CLOSE.match(x)
+            f[7] = x[0] in _RULE_MARKS and _RULE.match(x) is not None
+            close = None if ps or nw > 9 or not _MAY_CLOSE[x[:3]] else _CLOSE.match(x)
             if close and close.group("rest") and not (1 <= len(close.group("rest").split()) <= 3 and close.group("rest").strip()[0].isupper() and close.group("rest").strip()[-1] not in ".?!:"):
                 close = None
             f[8] = close is not None
             slash = x[0] == "/" and _SLASH.match(x) is not None
             f[10] = 1 if slash else 2 if f[7] else 0
-            f[11] = _bin(contact)
-            f[12] = nw <= 12 and _DEVICE.match(x) is not None
-            warn = (k == i or f[7]) and _WARNING.match(x) is not None
+            f[11] = contact
+            f[12] = nw <= 12 and _MAY_DEVICE[x[:3]] and _DEVICE.match(x) is not None
+            warn = (k == i or f[7]) and _MAY_WARN[x[:3]] and _WARNING.match(x) is not None
             f[14] = warn
-            foot = any(w in low for w in FOOTER)
+            low = x.lower() if footers or notices or nw <= 6 else ""
+            foot = bool(footers) and any(w in low for w in footers)
             f[15] = foot
-            f[16] = 1 if hashes is not None and hashes[k] in frequent else 0
-            f[13] = (1 if signed else 2 if f[16] else 0) if (signed or f[16]) and any(w in low for w in NOTICE) else 0
-            f[17] = _bin(lap)
+            f[16] = 1 if frequent and hashes is not None and hashes[k] in frequent else 0
+            if notices and (signed or f[16]) and any(w in low for w in notices):
+                f[13] = 1 if signed else 2
+            f[17] = lap
             f[18] = min(7, nw)
             f[19] = ps
-            f[20] = k == i and nw <= 8 and _SALUTE.match(x) is not None
+            f[20] = k == i and nw <= 8 and _MAY_SALUTE[x[:3]] and _SALUTE.match(x) is not None
             if nw <= 6:
-                tokens = [_folded(w) for w in _WORD.findall(x)]
-                f[21] = 0 < len(tokens) <= 4 and all(w in own or len(w) == 1 or bool(_SHORT.get(w, full) & full if w in _SHORT else False) for w in tokens)
+                tokens = [_folded(w) for w in _words(x)]
+                f[21] = 0 < len(tokens) <= 4 and all(w in own or len(w) == 1 or w in _SHORT and not full.isdisjoint(_SHORT[w]) for w in tokens)
                 f[25] = low.endswith(_LEGAL_END) or (1 < len(tokens) <= 5 and tokens[0] in own)
             f[22] = min(7, last_text - k)
             f[24] = begins
@@ -274,10 +339,9 @@ def line_features(body: str, sender: str | None, name: str | None, parent: str |
             f[26] = signed
             since += signed
         i = j
-    keep = [k for k in range(n) if not blank[k]]
     for k in keep if parent_lines else ():
         out[k][IN_PARENT] = _MARK.sub("", lines[k]).strip() in parent_lines
-    return [k + 1 for k in keep], np.frombuffer(b"".join(out[k] for k in keep), dtype=np.uint8).reshape(-1, N)
+    return [k + 1 for k in keep], np.frombuffer(b"".join([out[k] for k in keep]), dtype=np.uint8).reshape(-1, N)
 
 
 FEATURE_SCHEMA = "sender string, hashes array<bigint>, features binary"
@@ -448,7 +512,7 @@ def not_new_lines(emails: DataFrame, train_mails: int = 3000) -> DataFrame:
                 part = b.iloc[at : at + 2000]
                 ids, nos, xs = [], [], []
                 for i, body, sender, name, parent, frequent, hashes in zip(*[part[c] for c in ("id", "body", "sender", "name", "parent", "frequent", "hashes")]):
-                    no, x = line_features(body, sender, name, parent, set() if frequent is None else set(frequent), hashes)
+                    no, x = line_features(body, sender, name, parent, set() if frequent is None else set(frequent.tolist()), hashes.tolist(), evidence=False)
                     ids += [i] * len(no)
                     nos += no
                     xs.append(x)

@@ -76,3 +76,32 @@ def test_nulls_empty_and_repeated_mails(spark):
     got = sorted(tuple(r) for r in quotes.found_lines(spark.createDataFrame(rows, ROW)).collect())
     assert got == sorted((f"m{n}", k) for n in range(12) for k in (3, 4))
     assert quotes.found_lines(spark.createDataFrame([], ROW)).count() == 0
+
+
+def test_costly_expressions_are_tried_only_where_they_can_match(monkeypatch):
+    tried = []
+
+    class Watched:
+        def __init__(self, name):
+            self.name, self.match = name, lambda text: tried.append((self.name, text))
+
+    body = "We moved the oak tables to the other hall.\nNobody asked for them.\n\nOne carrier lost a truck, so we wait.\nIt is late."
+    for name in ("_INTRO_START", "_INTRO", "_HEAD", "_SEP", "_CLOSE", "_DEVICE", "_SALUTE", "_WARNING"):
+        monkeypatch.setattr(quotes, name, Watched(name))
+    no, x = quotes.line_features(body, "ann@x.com", "Ann", "Where are the oak tables now, and who moved them?", set(), None)
+    assert no == [1, 2, 4, 5] and x.shape == (4, quotes.N)
+    assert tried == []
+
+
+def test_what_is_needed_for_a_match_holds_for_every_match():
+    closings = [c for line in quotes.CLOSINGS.splitlines() for c in line.split("|")]
+    devices = "Sent from my X|sent via X|Get X for Y|Gesendet von X|Von meinem X gesendet|Envoyé de X|Enviado desde X|Wysłane z X|Verstuurd vanaf X|Verzonden met X|Inviato da X|Skickat från X|Enviado do X".split("|")
+    warnings = "Ext: x|[EXTERN] x|*** Zewnętrzny: x|externo: x|Esterno: x|Caution: x|! WARNING : x|Achtung: x|Attention: x|Atención: x|Uwaga: x|Let op: x|Attenzione: x|Varning: x|> external mail".split("|")
+    greetings = "Hi|Hello A|Hey|Dear A|Good day|Hallo|Liebe A|Guten Tag|Sehr geehrte A|Moin|Bonjour|Bonsoir|Cher A|Chère A|Salut|Hola|Buenas|Estimada A|Querida A|Cześć|Dzień dobry|Witam|Szanowna A|Goedemorgen|Beste A|Geachte A|Ciao|Buongiorno|Gentile A|Olá|Hej|God morgon".split("|")
+    for may, expression, lines in ((quotes._MAY_CLOSE, quotes._CLOSE, closings), (quotes._MAY_DEVICE, quotes._DEVICE, devices), (quotes._MAY_WARN, quotes._WARNING, warnings), (quotes._MAY_SALUTE, quotes._SALUTE, greetings)):
+        for line in (y for x in lines for y in (x, x.lower(), x.upper(), x.replace("s", "ſ"))):
+            assert may[line[:3]] or expression.match(line) is None, line
+        assert all(expression.match(x) for x in lines)
+    assert all(any(p in w for p in quotes._WROTE_PARTS) for w in quotes._WROTE_WORDS)
+    for text in ["".join(map(chr, range(128))), "a_b c-d\x1ce\x85f", "grüße, l'été 2²", ""]:
+        assert quotes._words(text) == quotes._WORD.findall(text)
